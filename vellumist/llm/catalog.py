@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumist.llm import mixing
+from vellumist.llm import mixing, secrets
 from vellumist.runtime import read_table
 
 
+def op3_secret_scan(spark, sf_dir):
+    found = secrets.find(read_table(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in secrets.STRONG_KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op10_mix_sources(spark, sf_dir):
     mixed = mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
