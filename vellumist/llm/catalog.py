@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumist.llm import mixing, secrets
+from vellumist.llm import mixing, secrets, topk
 from vellumist.runtime import read_table
 
 
@@ -14,6 +14,11 @@ def op3_secret_scan(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op9_exact_top_k(spark, sf_dir):
+    best = topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_mix_sources(spark, sf_dir):
     mixed = mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
@@ -23,5 +28,16 @@ def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+ORACLE_SQL = {
+    "op9_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                          CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
+
+
 def oracle_sql():
-    return {}
+    return dict(ORACLE_SQL)
