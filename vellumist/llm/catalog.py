@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumist.llm import mixing, secrets, topk
+from vellumist.llm import bpe, mixing, secrets, topk
 from vellumist.runtime import read_table
 
 
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def op2_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
 def op3_secret_scan(spark, sf_dir):
     found = secrets.find(read_table(spark, sf_dir, "documents"))
     counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in secrets.STRONG_KINDS]
