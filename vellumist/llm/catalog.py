@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumist.llm import bpe, jaccard, mixing, secrets, topk
+from vellumist.llm import bpe, html_text, jaccard, mixing, secrets, topk
 from vellumist.runtime import read_table
 
 
@@ -23,6 +23,10 @@ def op3_secret_scan(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op6_html_main_text(spark, sf_dir):
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     linked = jaccard.join(read_table(spark, sf_dir, "documents"))
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
