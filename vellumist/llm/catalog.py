@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumist.llm import bpe, html_text, jaccard, mixing, secrets, topk
+from vellumist.llm import bpe, html_text, jaccard, line_crf, mixing, secrets, topk
 from vellumist.runtime import read_table
 
 
@@ -32,6 +32,18 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
 
 
+def crc_remainder(column, modulus):
+    """crc32 of a number as text, modulo modulus: the contract's split into folds."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def op8_quality_crf(spark, sf_dir):
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    crf = line_crf.train(docs, labels, crc_remainder("doc_id", 5) != 0)
+    scored = line_crf.classify(docs.select("doc_id", "text"), crf)
+    return scored.select("doc_id", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_exact_top_k(spark, sf_dir):
     best = topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
