@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumist.llm import bpe, html_text, jaccard, line_crf, mixing, secrets, topk
+from vellumist.llm import bpe, html_text, jaccard, lang_kernel, licences, line_crf, media, mixing, secrets, topk
 from vellumist.runtime import read_table
 
 
+def op1_licence_scan(spark, sf_dir):
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
@@ -23,6 +27,22 @@ def op3_secret_scan(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op4_language_kernel(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = lang_kernel.train(docs, crc_remainder("doc_id", 4) != 2)
+    found = lang_kernel.identify(docs, model)
+    return found.select("doc_id", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_media_fingerprints(spark, sf_dir):
+    """Every recording with its class (match null), and every match of a class that holds a query."""
+    prints = media.fingerprints(media.play(read_table(spark, sf_dir, "embeddings")))
+    members, matches = media.align(prints, F.col("id") % 50 == 0)
+    return members.select(F.col("id").alias("vec_id"), "class_id", *[F.lit(None).cast(t).alias(c) for c, t in (("match_class", "long"), ("offset", "int"), ("overlap", "int"), ("bit_error", "double"))]).unionByName(
+        matches.select(F.lit(None).cast("long").alias("vec_id"), F.col("query_class").alias("class_id"), F.col("class_id").alias("match_class"), "offset", "overlap", "bit_error")
+    )
+
+
 def op6_html_main_text(spark, sf_dir):
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 

@@ -385,3 +385,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     named = materialize(named, "join-named")
     rows = every.select("id", *key, (F.col("npre") > 0).alias("open")).join(named.withColumn("open", F.lit(True)), [*key, "open"], "left")
     return rows.select("id", F.col("n").alias("n_shingles"), F.coalesce("cid", "id").alias("class_id"), F.coalesce("comp", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id.
+
+    Rows without an id stay. Rows that repeat id and text become one; rows that share an id with other texts stay or go together, and go
+    if every one of them is a copy of another document.
+    """
+    linked = materialize(join(docs, id_col, text_col, **options).filter("id is not null").select("id", "component_id"), "join-linked")
+    if linked.groupBy("id").count().filter("count > 1").limit(1).count():
+        named, unnamed = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
+        docs = named.dropDuplicates([id_col, text_col]).unionByName(unnamed)
+    gone = materialize(linked.groupBy("id").agg(F.min(F.col("component_id") != F.col("id")).alias("copy")).filter("copy").select(F.col("id").alias("__gone")), "join-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
