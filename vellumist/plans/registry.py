@@ -215,10 +215,10 @@ def dist_to_segment(spark, sf_dir):
     return geometry.chord_distance(adapters.polyline(spark, sf_dir)).withColumn("d", rnd("d", 5))
 
 
-@query(f"""WITH {LINES} SELECT line_id, CAST(seq AS INTEGER) AS seq, round(sum(px) OVER w, 3) + 0e0 AS sx, round(sum(py) OVER w, 3) + 0e0 AS sy, round(sum(px * px) OVER w, 3) + 0e0 AS sxx, round(sum(px * py) OVER w, 3) + 0e0 AS sxy, round(sum(py * py) OVER w, 3) + 0e0 AS syy
+@query(f"""WITH {LINES} SELECT line_id, CAST(seq AS INTEGER) AS seq, round(sum(px) OVER w, 5) + 0e0 AS sx, round(sum(py) OVER w, 5) + 0e0 AS sy, round(sum(px * px) OVER w, 5) + 0e0 AS sxx, round(sum(px * py) OVER w, 5) + 0e0 AS sxy, round(sum(py * py) OVER w, 5) + 0e0 AS syy
     FROM p WINDOW w AS (PARTITION BY line_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def prefix_moments(spark, sf_dir):
-    return geometry.prefix_moments(adapters.polyline(spark, sf_dir)).select("line_id", "seq", *[rnd(c, 3).alias(c) for c in ("sx", "sy", "sxx", "sxy", "syy")])
+    return geometry.prefix_moments(adapters.polyline(spark, sf_dir)).select("line_id", "seq", *[rnd(c, 5).alias(c) for c in ("sx", "sy", "sxx", "sxy", "syy")])
 
 
 @query(f"""WITH {LINES}, q AS (SELECT line_id, px AS x, py AS y, px * px + py * py AS z FROM p),
@@ -799,3 +799,41 @@ def flagship(spark, sf_dir):
 
     ink = regions.component_shape(regions.connected_components(raster.otsu_binarize(px_gray(spark, sf_dir)))).filter("label = 1")
     return ink.select("image_id", "comp", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "comp")).alias("rank"))
+
+
+# --- settings and whole pipelines
+
+
+@query("""WITH s AS (SELECT event_id, user_id % 90 - 10 AS k, value, event_type FROM events)
+    SELECT event_id, CAST(greatest(2, least(64, k)) AS INTEGER) AS paletteSize, CASE WHEN value IS NULL THEN 128 ELSE CAST(greatest(0, least(255, floor(value + 0.5e0))) AS INTEGER) END AS threshold,
+        CASE WHEN value IS NULL THEN 0.75e0 ELSE round(greatest(0e0, least(1e0, value / 100)), 6) END AS smoothing, CASE WHEN k = 0 THEN 0 ELSE CAST(greatest(64, least(8192, k * 50)) AS INTEGER) END AS maxDimension,
+        k % 2 = 0 AS invert, CASE k % 3 WHEN 0 THEN 'median' ELSE 'none' END AS denoise FROM s""")
+def settings_normalize(spark, sf_dir):
+    from vellumist.functions import settings
+    from vellumist.runtime import read_table
+
+    e = read_table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 90 - 10)
+    doc = F.to_json(F.struct(F.col("k").alias("paletteSize"), F.col("value").alias("threshold"), (F.col("value") / 100).alias("smoothing"), (F.col("k") * 50).alias("maxDimension"), (F.col("k") % 2 == 0).alias("invert"), F.when(F.col("k") % 3 == 0, "median").otherwise("other").alias("denoise"), F.lit(1).alias("unknown")))
+    out = settings.normalize(e.select("event_id", doc.alias("settings")), keep=("event_id",))
+    return out.select("event_id", "paletteSize", "threshold", rnd("smoothing").alias("smoothing"), "maxDimension", "invert", "denoise")
+
+
+@query(None)
+def ink_pipeline(spark, sf_dir):
+    from vellumist.plans import pipelines
+
+    return pipelines.ink(px_gray(spark, sf_dir), 8, 8)
+
+
+@query(None)
+def centerline_pipeline(spark, sf_dir):
+    from vellumist.plans import pipelines
+
+    return pipelines.centerline(px_gray(spark, sf_dir))
+
+
+@query(None)
+def color_pipeline(spark, sf_dir):
+    from vellumist.plans import pipelines
+
+    return pipelines.color_layers(px_rgb(spark, sf_dir), PALETTE, 8, 8)
