@@ -70,7 +70,7 @@ def test_against_brute_force(spark, percent):
 
 def test_hot_shingles_small_blocks_and_leaders(spark, monkeypatch):
     rows = fixture(2)
-    monkeypatch.setattr(jaccard, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3000)
     assert run(spark, rows, 3) == brute(rows)
 

@@ -10,8 +10,8 @@ whose shingles occur nowhere else has nothing to offer and leaves at once.
 2. Each block orders its documents' shared shingles by frequency and drops documents whose prefix holds none.
 3. Equal sets collapse into a class; classes with equal size and prefix collapse into a group. Groups meet in the buckets
    of their prefix shingles, size and position filters drop group pairs, and the rest expand into member pairs, verified exactly.
-4. Links are wanted as connected classes, so pairs of one component need no further test. Rounds of leaders come first: each
-   bucket tests its members against one leader. Then every pair that still shares a bucket across components is
+4. Links are wanted as connected classes, so pairs of one component need no further test. Rounds of leaders come first: groups
+   are tested against the leaders of their buckets, and buckets that are all connected leave. Then every pair that still shares a bucket across components is
    tested, whatever the count. Nothing is capped or sampled.
 
 Hashes have 64 bits for set sizes and classes (with two 64-bit sums over the set), 48 bits within the join, where two shingles of a
@@ -45,8 +45,8 @@ BUCKET_TOKENS = 1_500_000
 #: A hash in so many documents of a block is counted in the block.
 LOCAL_HOT = 32
 BITS = 48
-#: Leader rounds at most, and the pairs for each prefix row from which another round is worth it.
-ROUNDS, PAIRS_A_ROW = 4, 2
+#: Rounds of leaders before everything that is left is tested.
+ROUNDS = 4
 
 DEALT = "dest long, kind int, blk long, payload binary"
 ANSWER = "blk long, kind int, payload binary"
@@ -288,6 +288,23 @@ def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+BIT_COLUMNS = tuple(f"bits{i}" for i in range(4))
+
+
+def with_bits(classes: DataFrame) -> DataFrame:
+    """cid, single and 256 bits of each set, the parity of its shared shingles by hash.
+
+    Bits in which two sets differ are at most the shingles in which they differ, so too many of them, with the shingles that only one text has, rule a pair out.
+    """
+
+
+    def word(i: int):
+        mine = F.filter("toks", lambda t: F.shiftrightunsigned(t, 6) % 4 == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (t % 64).cast("int"))))
+
+    return classes.select("cid", "single", *[word(i).alias(c) for i, c in enumerate(BIT_COLUMNS)])
+
+
 def _sizes_fit(na, nb, percent: int):
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
@@ -336,37 +353,44 @@ def link(classes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     # A row for each group and shingle of its prefix, where another group has it too, or each member of a group of several.
     rows = grouped.filter("gid = cid").select("gid", "n", "single", F.posexplode("prefix").alias("pos", "tok")).withColumn("most", F.col("n") - F.col("single") - F.col("pos")).drop("pos", "single")
     shared = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("tok")
-    rows = materialize(rows.join(shared, "tok"), "join-prefixes")
+    rows = materialize(rows.join(shared, "tok").withColumn("comp", F.col("gid")), "join-prefixes")
     links = _Links(classes.select("cid", "n", "toks"), percent)
     inside = _ordered(members.filter("gid != cid"), "gid", "cid")
-
-    def leaders(seed: int) -> DataFrame:
-        """Each bucket's groups against the bucket's leader, expanded into members."""
-        labelled = links.label(rows.select("tok", "gid", "n", "most"), "gid", "comp")
-        best = labelled.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "comp", "most"), F.xxhash64(F.lit(seed), "gid")).alias("l"))
-        met = labelled.join(best, "tok").filter((F.col("gid") != F.col("l.gid")) & (F.col("comp") != F.col("l.comp")) & _sizes_fit(F.col("n"), F.col("l.n"), percent))
-        near = met.select("gid", F.col("l.gid").alias("leader")).distinct().join(members, "gid")
-        return _ordered(near, "leader", "cid")
-
-    links.test(leaders(0).unionByName(inside))
-    for seed in range(1, ROUNDS):
-        spread = links.label(rows.select("tok", "gid"), "gid", "comp").groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        across, total = spread.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.sum("m")).first()
-        if not across or across <= PAIRS_A_ROW * total:
-            break
-        links.test(leaders(seed))
+    torn = open_tokens = None
+    for seed in range(ROUNDS):
+        # A bucket's leader is its group of least hash. First each group meets the least of its leaders, later all whose component is another.
+        by_hash = F.struct(F.xxhash64(F.lit(seed), "gid").alias("h"), "gid", "n", "comp")
+        best = rows.groupBy("tok").agg(F.min(by_hash).alias("l"))
+        met = rows.join(best, "tok").filter((F.col("comp") != F.col("l.comp")) & _sizes_fit(F.col("n"), F.col("l.n"), percent))
+        met = met.groupBy("gid").agg(F.min("l").alias("l")) if seed == 0 else met.select("gid", "l").distinct()
+        pairs = _ordered(met.select("gid", F.col("l.gid").alias("leader")).join(members, "gid"), "leader", "cid")
+        links.test(pairs.unionByName(inside) if seed == 0 else pairs)
+        # Buckets whose groups are all connected are done.
+        labelled = links.label(rows.drop("comp"), "gid", "comp")
+        mixed = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("tok")
+        if torn is None:
+            # A group whose members are in several components is not done, though it has one label here.
+            own = links.label(members, "cid", "comp")
+            torn = materialize(own.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("gid"), "join-torn")
+            mixed = mixed.unionByName(rows.join(torn, "gid", "left_semi").select("tok")).distinct()
+            open_tokens = materialize(rows.join(torn, "gid", "left_semi").select("tok").distinct(), "join-open")
+        else:
+            mixed = mixed.unionByName(open_tokens).distinct()
+        rows = materialize(labelled.join(mixed, "tok").select("tok", "gid", "n", "most", "comp"), "join-prefixes")
     # What still shares a bucket across components, all of it.
-    full = links.label(rows.join(members, "gid").select("tok", "cid", "n", "most"), "cid", "comp")
-    mixed = full.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("tok")
-    full = full.join(mixed, "tok")
-    x = full.select("tok", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "most", "comp")])
-    y = full.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "most", "comp")])
+    full = links.label(rows.drop("comp").join(members, "gid").select("tok", "cid", "n", "most"), "cid", "comp")
+    full = full.join(with_bits(classes), "cid")
+    own_columns = ("cid", "n", "most", "comp", "single", *BIT_COLUMNS)
+    x, y = (full.select("tok", *[F.col(c).alias(f"{side}_{c}") for c in own_columns]) for side in "xy")
     need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
     fits = (F.col("x_cid") < F.col("y_cid")) & (F.col("x_comp") != F.col("y_comp")) & _sizes_fit(F.col("x_n"), F.col("y_n"), percent) & (F.least("x_most", "y_most") >= need)
+    apart = F.col("x_single") + F.col("y_single")
+    for b in BIT_COLUMNS:
+        apart = apart + F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}")))
+    fits = fits & (apart <= F.col("x_n") + F.col("y_n") - 2 * need)
     rest = x.join(y, "tok").filter(fits).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"))
     # Groups whose own leader was too far from some of its members.
     own = links.label(grouped.select("gid", "cid"), "cid", "comp")
-    torn = own.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("gid")
     own = own.join(torn, "gid")
     twins = own.select("gid", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(own.select("gid", F.col("cid").alias("b"), F.col("comp").alias("cb")), "gid").filter("a < b and ca != cb").select("a", "b")
     links.test(rest.unionByName(twins))
