@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding, as recursive DuckDB queries in each partition.
 
 A text is cut into pieces by the tokenizer's pattern. The distinct pieces of a slice of a partition that are not yet
-known go to DuckDB as token-position rows, one a byte. The recursive query joins neighbouring tokens with the
-merge table (left id, right id, rank of their concatenation), contracts the leftmost pair of minimum rank of each piece
-and goes on until no piece has a pair left. Whole pieces that are a token themselves are that token, as in the
+known go to DuckDB as token-position rows, one a byte. The query joins neighbouring tokens with the merge table (left
+id, right id, rank of their concatenation) and lists each piece's tokens and pair ranks in order; its recursion contracts the leftmost
+pair of minimum rank of each piece, joins the new token with its two neighbours to the merge table, and goes on until no piece has a pair left. Whole pieces that are a token themselves are that token, as in the
 reference encoding. Decoding joins the ids of whole texts with the vocabulary and concatenates the bytes by an ordered aggregation.
 
 A round contracts one pair, so the recursion is quadratic in a piece's length: pieces over ``LONG_PIECE`` bytes (unbroken
@@ -39,25 +39,25 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: No piece of the pattern spans these units, so equal units have equal pieces.
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-ENCODE = """
-WITH RECURSIVE step(done, k, e, t, r) AS (
-    SELECT false, x.k, x.k + 1, x.t, m.r
-    FROM (SELECT k, t, lead(t) OVER (PARTITION BY k // 256 ORDER BY k) AS nt FROM bytes_in) x
-    LEFT JOIN merges m ON m.a = x.t AND m.b = x.nt
+NONE = 1 << 30
+ENCODE = f"""
+WITH RECURSIVE pairs AS (SELECT k, t, lead(t) OVER (PARTITION BY k // 256 ORDER BY k) AS nt FROM bytes_in),
+ranked AS (
+    SELECT k // 256 AS w, list(p.t ORDER BY k) AS t, list(coalesce(m.r, {NONE}) ORDER BY k) AS r
+    FROM pairs p LEFT JOIN merges m ON m.a = p.t AND m.b = p.nt GROUP BY 1),
+step(w, t, r, least) AS (
+    SELECT w, t, r, list_min(r) FROM ranked
     UNION ALL
-    (WITH cur AS (SELECT * FROM step WHERE NOT done),
-    best AS (SELECT k // 256 AS w, min(r::BIGINT * 256 + k % 256) AS bp FROM cur GROUP BY 1),
-    marked AS (SELECT cur.k, cur.e, cur.t, cur.r, bp, coalesce(r::BIGINT * 256 + k % 256 = bp, false) AS hit FROM cur JOIN best ON k // 256 = w),
-    gone AS (SELECT cur.k, cur.e FROM cur JOIN (SELECT e FROM marked WHERE hit) h ON h.e = cur.k),
-    merged AS (
-        SELECT n.k, coalesce(g.e, n.e) AS e, CASE WHEN n.hit THEN n.r ELSE n.t END AS t, n.bp
-        FROM marked n LEFT JOIN gone g ON n.hit AND g.k = n.e
-        WHERE n.k NOT IN (SELECT k FROM gone)),
-    paired AS (SELECT a.*, b.t AS nt FROM merged a LEFT JOIN merged b ON b.k = a.e)
-    SELECT bp IS NULL, p.k, p.e, p.t, CASE WHEN bp IS NULL THEN NULL ELSE m.r END
-    FROM paired p LEFT JOIN merges m ON m.a = p.t AND m.b = p.nt)
+    (WITH leftmost AS (SELECT w, t, r, least, list_position(r, least) AS i FROM step WHERE least < {NONE}),
+    sides AS (SELECT *, t[i - 1] AS before, t[i + 2] AS after FROM leftmost),
+    contracted AS (
+        SELECT w, t[: i - 1] || [least] || t[i + 2 :] AS t,
+               CASE WHEN i > 1 THEN s.r[: i - 2] || [coalesce(x.r, {NONE})] ELSE [] :: INTEGER[] END
+               || [coalesce(y.r, {NONE})] || s.r[i + 2 :] AS r
+        FROM sides s LEFT JOIN merges x ON x.a = s.before AND x.b = s.least LEFT JOIN merges y ON y.a = s.least AND y.b = s.after)
+    SELECT w, t, r, list_min(r) FROM contracted)
 )
-SELECT k // 256 AS w, list(t ORDER BY k) AS ids FROM step WHERE done GROUP BY 1 ORDER BY 1
+SELECT w, t AS ids FROM step WHERE least = {NONE} ORDER BY w
 """
 
 DECODE = """
@@ -92,6 +92,7 @@ class Codec:
         self.db.register("merges_in", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "r": pa.array(r, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]}))
+        self.said_ids = {r: f"{r} " for r in ranks.values()}
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.forget()
 
@@ -101,14 +102,14 @@ class Codec:
         self.flat = np.empty(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
-    def recursive(self, pieces: list[bytes]) -> list[list[int]]:
+    def recursive(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, and how many each has."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        keys = np.repeat(np.arange(len(pieces), dtype=np.int64), lengths) * 256 + place
+        keys = np.repeat(np.arange(len(pieces), dtype=np.int64) * 256 - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         self.db.register("bytes_in", pa.table({"k": keys, "t": self.byte[np.frombuffer(b"".join(pieces), np.uint8)]}))
-        found = self.db.execute(ENCODE).to_arrow_table().column("ids").to_pylist()
+        found = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("bytes_in")
-        return found
+        return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
 
     def heap(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece, in n log n."""
@@ -133,28 +134,31 @@ class Codec:
 
     def learn(self, units: list[str]) -> None:
         """Ids of new units."""
-        pieces = {u: [p.encode() for p in self.pattern.findall(u)] for u in units}
-        ids: dict[bytes, list[int]] = {}
-        todo = []
-        for p in {p for found in pieces.values() for p in found}:
-            if p in self.ranks:
-                ids[p] = [self.ranks[p]]
-            elif len(p) > LONG_PIECE:
-                ids[p] = self.heap(p)
-            else:
-                todo.append(p)
-        for i in range(0, len(todo), 60_000):
-            part = todo[i : i + 60_000]
-            ids.update(zip(part, self.recursive(part)))
-        new, sizes = [], []
-        for u in units:
-            own = [x for p in pieces[u] for x in ids[p]]
-            self.units[u] = len(self.said)
-            self.said.append(" ".join(map(str, own)) + " ")
-            new += own
-            sizes.append(len(own))
-        self.flat = np.concatenate([self.flat, np.array(new, np.int32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.array(sizes, np.int64))])
+        cut = [self.pattern.findall(u) for u in units]
+        number = {p: i for i, p in enumerate(dict.fromkeys(p for found in cut for p in found))}
+        raw = [p.encode() for p in number]
+        whole = [self.ranks.get(p, -1) for p in raw]
+        short = [i for i, (p, r) in enumerate(zip(raw, whole)) if r < 0 and len(p) <= LONG_PIECE]
+        long = [i for i, (p, r) in enumerate(zip(raw, whole)) if r < 0 and len(p) > LONG_PIECE]
+        parts = [(np.array(whole, np.int32)[(w := np.array(whole)) >= 0], np.ones(int((w >= 0).sum()), np.int64))]
+        parts += [self.recursive([raw[i] for i in short[at : at + 60_000]]) for at in range(0, len(short), 60_000)]
+        parts += [(np.array(ids, np.int32), np.array([len(ids)])) for ids in (self.heap(raw[i]) for i in long)]
+        # Pieces stand in that order in flat; place has where each begins.
+        flat, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+        order = np.concatenate([np.flatnonzero(w >= 0), np.array(short + long, np.int64)]).astype(np.int64)
+        size, place = np.empty(len(raw), np.int64), np.empty(len(raw), np.int64)
+        size[order], place[order] = sizes, np.cumsum(sizes) - sizes
+        decimal = list(map(self.said_ids.__getitem__, flat.tolist()))
+        said = [decimal[a] if n == 1 else "".join(decimal[a : a + n]) for a, n in zip(place.tolist(), size.tolist())]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        own = np.fromiter((number[p] for found in cut for p in found), np.int64, int(counts.sum()))
+        each = size[own]
+        ends = np.cumsum(each)
+        self.flat = np.concatenate([self.flat, flat[np.arange(ends[-1]) + np.repeat(place[own] - ends + each, each)]])
+        self.at = np.concatenate([self.at, self.at[-1] + ends[np.cumsum(counts) - 1]])
+        first = len(self.said)
+        self.units.update(zip(units, range(first, first + len(units))))
+        self.said += [said[number[found[0]]] if len(found) == 1 else "".join([said[number[p]] for p in found]) for found in cut]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Flat ids, the number of each text, and each text's decimal ids joined by one space."""
