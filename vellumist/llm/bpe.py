@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 LONG_PIECE = 192
 SLICE_CHARS = 4_000_000
 DECODE_ROWS = 2_000_000
-MOST_UNITS = 600_000
+MOST_UNITS = 1_300_000
 #: The vocabulary goes to every executor, so its file has a limit.
 MOST_VOCAB_BYTES = 64 << 20
 
