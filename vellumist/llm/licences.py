@@ -48,9 +48,18 @@ WORD = re.compile(r"[^\W_]+")
 COPYRIGHT = re.compile(r"^\W*(?:copyright|©|\(c\))\W.*\d{4}.*$", re.I)
 
 
-def bigrams(text: str) -> frozenset[tuple[str, ...]]:
-    words = WORD.findall(text.lower())
-    return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset([tuple(words)] if words else [])
+def bigrams(text: str, most: float = float("inf")) -> frozenset[tuple[str, ...]]:
+    """The set of word bigrams; a text with more than ``most`` is read only as far as it takes to know."""
+    own: set[tuple[str, ...]] = set()
+    last = None
+    for m in WORD.finditer(text.lower()):
+        word = m[0]
+        if last is not None:
+            own.add((last, word))
+            if len(own) > most:
+                return frozenset(own)
+        last = word
+    return frozenset(own or ([(last,)] if last is not None else []))
 
 
 class Scanner:
@@ -69,7 +78,7 @@ class Scanner:
 
     def best(self, unit: str) -> tuple[float, int, str] | None:
         """Dice, template size and name of the best template that reaches the threshold."""
-        own = bigrams(unit)
+        own = bigrams(unit, self.most)
         if not self.least <= len(own) <= self.most:
             return None
         common: dict[int, int] = {}
@@ -110,8 +119,6 @@ class Scanner:
                 found.append((*m, a, b))
         for a, b in whole:
             unit = text[a:b]
-            if unit.count(" ") + unit.count("\n") > 4 * self.most + 1000 and len(set(unit.split())) > 4 * self.most + 1000:
-                continue  # more distinct words than any bounded set of bigrams can have
             unit = "\n".join(x for x in unit.split("\n") if not COPYRIGHT.match(x))
             if m := self.best(unit):
                 found.append((*m, a, b))
