@@ -6,7 +6,7 @@ language, turn the kernel into features K(x, L) K(L, L)^(-1/2); one-versus-rest
 a value for each language. As the kernel is linear in the presence rows, the landmarks, the root and the weights fold into one
 matrix, and a batch of whole texts is scored by one product of its presence rows with it.
 
-The model is fitted on about ``PER_LANGUAGE`` texts of each of at most ``MOST_LANGUAGES`` languages, chosen by a hash of the
+The model is fitted on about ``PER_LANGUAGE`` texts of each of at most ``MOST_LANGUAGES`` languages, about ``MOST_ROWS`` in all, chosen by a hash of the
 id; they come to the driver as presence bits of ``WIDTH`` / 8 bytes each.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for every text if nothing was learned; rows without an id may be scored, never
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 WIDTH = 1 << 15
 ORDERS = (2, 3, 4)
 PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES = 500, 48, 200
+#: Bounds over all languages together.
+MOST_ROWS, MOST_LANDMARKS = 10_000, 960
 RIDGE, SHARPNESS = 1e-3, 5.0
 UNKNOWN = "und"
 ROWS, SLICE_BYTES = 256, 2_000_000
@@ -70,19 +72,27 @@ def normed(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.maximum(1.0, rows.sum(axis=1, keepdims=True)))
 
 
-def fit(rows: np.ndarray, langs: list[str]) -> dict | None:
-    """Folded weights (WIDTH x languages) and offsets from presence rows and their languages."""
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
+def fit(bits: np.ndarray, langs: list[str]) -> dict | None:
+    """Folded weights (WIDTH x languages) and offsets from packed presence bits and their languages.
+
+    Rows are unpacked ROWS at a time, so the driver holds the landmarks and the kernel columns besides the bits.
+    """
     names = sorted(set(langs))
     if not names:
         return None
     y = np.array([names.index(x) for x in langs])
-    chosen = np.concatenate([np.flatnonzero(y == i)[:LANDMARKS] for i in range(len(names))])
-    x = normed(rows).astype(np.float64)
-    marks = x[chosen]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * values[-1]
+    each = max(4, min(LANDMARKS, MOST_LANDMARKS // len(names)))
+    chosen = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(names))])
+    marks = normed(unpacked(bits[chosen]))
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good]) @ vectors[:, good].T
-    z = x @ marks.T @ root
+    kernel = np.concatenate([normed(unpacked(bits[i : i + ROWS])) @ marks.T for i in range(0, len(bits), ROWS)])
+    z = kernel.astype(np.float64) @ root
     mean = z.mean(axis=0)
     z = z - mean
     goal = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
@@ -90,7 +100,7 @@ def fit(rows: np.ndarray, langs: list[str]) -> dict | None:
     weight = (1 / (share[y] * len(names)))[:, None]  # every language counts alike
     base = (goal * weight).sum(axis=0) / weight.sum()
     beta = np.linalg.solve(z.T @ (z * weight) + RIDGE * len(y) * np.eye(z.shape[1]), z.T @ ((goal - base) * weight))
-    return {"names": names, "v": (marks.T @ root @ beta).astype(np.float32), "b": base - mean @ beta}
+    return {"names": names, "v": marks.T @ (root @ beta).astype(np.float32), "b": base - mean @ beta}
 
 
 def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -113,8 +123,9 @@ def train(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
     counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
-    # Of each language about PER_LANGUAGE rows: those whose hash is below its own bound.
-    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 30)))])
+    each = min(PER_LANGUAGE, MOST_ROWS // len(counts))
+    # Of each language about so many rows: those whose hash is below its own bound.
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, each / r["count"]) * (1 << 30)))])
     few = rows.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < F.coalesce(bound[F.col(lang_col)], F.lit(0)))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +136,7 @@ def train(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in packed], pa.binary()), part.column(1)], names=["bits", "lang"])
 
     got = few.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(bits, "bits binary, lang string").orderBy(F.xxhash64("bits"), "lang").collect()
-    matrix = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    return fit(matrix, [r.lang for r in got])
+    return fit(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), WIDTH // 8), [r.lang for r in got])
 
 
 def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
