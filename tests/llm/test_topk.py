@@ -43,3 +43,13 @@ def test_small_and_empty(spark):
     assert run(spark, [(0, [1.0]), (1, [1.0]), (2, [-1.0])]) == [(0, 1, 1, 65536), (0, 2, 2, -65536)]
     assert run(spark, [(1, [1.0])]) == []
     assert run(spark, []) == []
+
+
+def test_copies_of_a_row_leave_room_for_others(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0])] + [(1, [3.0, 0.0])] * 40 + [(2, [2.0, 0.0]), (4, [1.0, 5.0]), (4, [1.0, 7.0]), (3, [0.5, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], SCHEMA).coalesce(1)
+    want = [(0, 1, 1, 3 << 16), (0, 2, 2, 2 << 16), (0, 3, 4, 1 << 16), (0, 4, 4, 1 << 16), (0, 5, 3, 1 << 15)]
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 0, 5).collect())) == want
+    more = df.unionByName(df.filter("vec_id = 0").withColumn("vec_id", F.lit(100).cast("long")).withColumn("embedding", F.array(F.lit(-1.0), F.lit(0.0)).cast("array<float>")))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    assert [tuple(r) for r in topk.top_k(more.coalesce(1), F.col("vec_id") % 100 == 0, 5).filter("query_id = 0").orderBy("rank").collect()] == want

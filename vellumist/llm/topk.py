@@ -6,7 +6,8 @@ a batch of candidates in vertical layout (one contiguous row per dimension) and
 block of dimensions after another. After each block a candidate's score can still grow by at most
 |query rest| * |candidate rest| (Cauchy-Schwarz on the remaining mass); candidates that cannot reach the query's
 k-th best score so far are compacted away before the next block. Ties survive, as only a bound strictly below the
-k-th score removes. Each task gives at most k rows a query; a window over those picks the k best.
+k-th score removes. Each task gives at most k rows a query; a window over those picks the k best. As each task cuts to k rows and the bounds
+count rows, candidates are made distinct before the search.
 
 Defined cases: null vectors and vectors with a null or non-finite component take no part, neither do rows
 without an id; vectors of different lengths are compared as if the shorter went on with zeros; a query never meets rows of its own id,
@@ -131,10 +132,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """(query_id, rank, id, score): the k highest integer inner products of every query row, ties to the smaller id."""
     chosen = F.col(vector_col)
     ready = vectors.filter(usable(chosen) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantize(chosen).alias("v"), is_query.alias("q"))
-    # Rows that repeat id and vector would take two ranks: the window below drops them, as their scores are equal.
     queries = materialize(ready.filter("q").groupBy("id").agg(F.max("v").alias("v")), "topk-queries")
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
+    # Copies of a row would fill the k places of a task and push other neighbours out.
+    rows = ready.select("id", "v").distinct()
+    if n > QUERY_BLOCK:
+        rows = materialize(rows, "topk-rows")
     found = None
     block_of = F.pmod(F.xxhash64("id"), F.lit(2 * blocks))
     for b in range(2 * blocks if n > QUERY_BLOCK else 1):
@@ -144,10 +148,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             continue
         lists = table.column("v").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        part = search_block(ready.select("id", "v"), table.column("id").to_numpy(), _matrix(lists, 0), k)
+        part = search_block(rows, table.column("id").to_numpy(), _matrix(lists, 0), k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = ready.select(F.col("id").alias("query_id"), F.col("id"), F.lit(0).cast("long").alias("score")).limit(0)
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    best = found.dropDuplicates(["query_id", "id", "score"]).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
