@@ -1,6 +1,8 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-The units of a text are its lines, its paragraphs (lines up to an empty one) and the whole. A unit is normalised (lower
+The units of a text are its lines, its paragraphs (lines up to an empty one), the whole, and runs of neighbouring lines, across empty ones too. A run's
+first and last line must each add a template's bigram of their own: without such a line the run would score no less. A run is reported if no shorter
+or longer unit that overlaps it matches the same licence as well or better. A unit is normalised (lower
 case, words only, copyright lines and years left out) and becomes its set of word bigrams. With a units' set A, a template's B and
 the threshold t, Dice = 2 |A and B| / (|A| + |B|) can reach t only if t/(2-t) |A| <= |B| <= (2-t)/t |A|: a template outside these bounds
 is never compared. An index from bigram to templates counts the rest in one go. A one-word template or unit counts its word as its bigram.
@@ -75,10 +77,14 @@ class Scanner:
         low = threshold / (2 - threshold)
         self.least, self.most = min(self.sizes, default=0) * low, max(self.sizes, default=0) / low
         self.low = low
+        # At Dice t a unit holds at most 2 |B| (1 - t) / t bigrams that B has not.
+        self.spare = 2 * max(self.sizes, default=0) * (1 - threshold) / threshold + 1e-9
 
     def best(self, unit: str) -> tuple[float, int, str] | None:
         """Dice, template size and name of the best template that reaches the threshold."""
-        own = bigrams(unit, self.most)
+        return self.score(bigrams(unit, self.most))
+
+    def score(self, own: set | frozenset) -> tuple[float, int, str] | None:
         if not self.least <= len(own) <= self.most:
             return None
         common: dict[int, int] = {}
@@ -93,6 +99,37 @@ class Scanner:
         ]
         return min(found, key=lambda x: (-x[0], -x[1], x[2]), default=None)
 
+    def runs(self, lines: list[tuple[int, int, str]]) -> list[tuple[float, int, str, int, int]]:
+        """Matches of runs of two or more lines that have words."""
+        words: list[str] = []
+        first_word, spans = [], []
+        for a, b, line in lines:
+            if (found := WORD.findall(line.lower())) and not COPYRIGHT.match(line):
+                first_word.append(len(words))
+                spans.append((a, b))
+                words += found
+        first_word.append(len(words))
+        pairs = list(zip(words, words[1:]))
+        known = self.index.keys()
+        out = []
+        for i in range(len(spans) - 1):
+            # Pairs that start in the line; the last one reaches into the next line.
+            at, upto = first_word[i], first_word[i + 1]
+            needed = known & set(pairs[at:upto])
+            own = set(pairs[at : upto - 1])
+            hits = len(own & known)
+            for j in range(i + 1, len(spans)):
+                if not needed or len(own) - hits > self.spare or len(own) > self.most:
+                    break
+                more = set(pairs[first_word[j] - 1 : first_word[j + 1] - 1]) - own
+                fresh = len(more & known)
+                own |= more
+                hits += fresh
+                needed.difference_update(pairs[first_word[j] - (j > i + 1) : first_word[j + 1] - 1])
+                if needed and fresh and hits >= self.low * len(own) - 1e-9 and (m := self.score(own)):
+                    out.append((*m, spans[i][0], spans[j][1]))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[float, int, str, int, int]]:
         """Matches of a text: Dice, template size, name and the unit's start and end."""
         if not text:
@@ -122,6 +159,14 @@ class Scanner:
             unit = "\n".join(x for x in unit.split("\n") if not COPYRIGHT.match(x))
             if m := self.best(unit):
                 found.append((*m, a, b))
+        taken: dict[str, list[tuple[float, int, int]]] = {}
+        for d, _, name, a, b in found:
+            taken.setdefault(name, []).append((d, a, b))
+        for d, size, name, a, b in sorted(self.runs(lines), key=lambda x: (-x[0], x[4] - x[3], x[3])):
+            rivals = taken.setdefault(name, [])
+            if not any(e >= d and s < b and a < t for e, s, t in rivals):
+                rivals.append((d, a, b))
+                found.append((d, size, name, a, b))
         return found
 
 
