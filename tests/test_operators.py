@@ -117,6 +117,15 @@ def test_merge_leaves_no_small_region(spark):
     assert min(r.area for r in areas) >= 3
 
 
+def test_color_layers_merge_beyond_two_rounds(spark):
+    colors = [(255, 0, 0), (0, 255, 0), (0, 0, 255)]
+    cells = [2, 0, 2, 1, 1, 2, 0, 2, 0, 1, 0, 0, 0, 2, 2, 0]  # two labels are left after two rounds, one after three
+    px = spark.createDataFrame([(1, i % 4, i // 4, *colors[c]) for i, c in enumerate(cells)], "image_id long, x int, y int, r int, g int, b int")
+    labels = palette.quantize_fixed(px, colors).withColumnRenamed("label", "m")
+    assert [regions.merge_small(labels, 4, rounds=n).select("m").distinct().count() for n in (2, 3)] == [2, 1]
+    assert str(pipelines.color_layers(px, colors, 4, 4, 4).first()).count("<path") == 1
+
+
 def test_numbers_in_paths(spark):
     values = [0.0, -0.0, 0.5, -0.25, 12.0, 12.3, -7.126, 0.004, -0.004]
     got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(svg.number(F.col("v")).alias("t")).collect()]

@@ -34,7 +34,7 @@ def centerline(gray: DataFrame) -> DataFrame:
 def color_layers(pixels: DataFrame, colors: list[tuple[int, int, int]], width: int, height: int, min_area: int = 2) -> DataFrame:
     """Color, stacked: palette labels, small regions merged, layers that overlap by stacking order, outlines, one path a layer."""
     labels = palette.quantize_fixed(pixels, colors).withColumnRenamed("label", "m")
-    labels = materialize(regions.merge_small(labels, min_area, rounds=2), "color-labels")
+    labels = materialize(regions.merge_small(labels, min_area), "color-labels")
     order = materialize(layers.stack_order(labels), "color-order")
     stacked = layers.layer_masks(labels, order)
     # Each layer is a mask of its own image: (image, layer) is the key of all that follows.
