@@ -83,3 +83,31 @@ def test_empty_and_unlinked(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).selectExpr("id * 7 % 61 as a", "(id * 7 + 7) % 61 as b")
     assert {r.comp for r in components(edges).collect()} == {0}
+
+
+def thue_morse(length, letters):
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join(letters[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    words = [thue_morse(2048, x) for x in ("ab", "ba", "cd", "dc")]
+    assert words[0] != words[1]
+    rows = [(1, " ".join([words[0]] * 3 + ["x"] * 4)), (2, " ".join([words[1]] * 3 + ["x"] * 4)), (3, words[2]), (4, words[3]), (5, "a"), (6, "a\0")]
+    assert run(spark, rows, 2) == brute(rows)
+
+
+def test_one_large_group_around_the_threshold(spark, monkeypatch):
+    """Copies of one text at all distances, with cells in many parts and blocks."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "PART_BYTES", 9000)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    assert run(spark, rows) == brute(rows)

@@ -10,12 +10,15 @@ whose shingles occur nowhere else has nothing to offer and leaves at once.
 2. Each block orders its documents' shared shingles by frequency and drops documents whose prefix holds none.
 3. Equal sets collapse into a class; classes with equal size and prefix collapse into a group. Groups meet in the buckets
    of their prefix shingles, size and position filters drop group pairs, and the rest expand into member pairs, verified exactly.
-4. Links are wanted as connected classes, so pairs of one component need no further test. Rounds of leaders come first: groups
-   are tested against the leaders of their buckets, and buckets that are all connected leave. Then every pair that still shares a bucket across components is
-   tested, whatever the count. Nothing is capped or sampled.
+4. Links are wanted as connected classes, so pairs of one component need no further test. Rounds of leaders come first: each group
+   is tested against a leader of its buckets, one pair a member, and buckets that are all connected leave. What still shares a bucket across components is dealt to cells,
+   the buckets led by one component. A cell's members are tested in one task, or in blocks of two parts of bounded size where there are
+   more, and parts of one component never meet. Tasks give the links that merge components, never pairs. Nothing is capped or sampled.
 
-Hashes have 64 bits for set sizes and classes (with two 64-bit sums over the set), 48 bits within the join, where two shingles of a
-verified pair collide with a probability of about 2e-9.
+Words of up to seven bytes are hashed one to one (their bytes and length, mixed), longer ones by keyed SipHash, and a shingle chains its words' hashes
+through multiplications and shifts, so no two texts collide by their structure. Hashes have 64 bits for set sizes and classes (with two 64-bit
+sums over the set) and 48 bits within the join. "Exactly" means up to these: of two verified texts of n shingles, two different shingles share a hash
+with a probability of about n * n / 2**48 (7e-11 for 140 words, 1e-6 for 20,000), and only pairs within that of the threshold could be judged otherwise.
 
 Defined cases: a text without words has the empty set and links with nothing; rows without an id link with nothing and have
 a null component; rows that repeat an id are compared each for themselves; an empty table gives an empty result; other columns are ignored.
@@ -43,10 +46,12 @@ BLOCK_BYTES = 4_000_000
 #: Shingle occurrences that a bucket holds, on average.
 BUCKET_TOKENS = 1_500_000
 #: A hash in so many documents of a block is counted in the block.
-LOCAL_HOT = 32
+LOCAL_HOT = 8
 BITS = 48
-#: Rounds of leaders before everything that is left is tested.
-ROUNDS = 4
+#: Rounds of leaders before the cells, which are exact whatever the rounds have left.
+ROUNDS = 3
+#: Bytes of sets in one part of a cell.
+PART_BYTES = 4_000_000
 
 DEALT = "dest long, kind int, blk long, payload binary"
 ANSWER = "blk long, kind int, payload binary"
@@ -64,31 +69,41 @@ def mix(x: np.ndarray, k: int = 0) -> np.ndarray:
     return x ^ (x >> _u(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_u), 2) | _u(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of words that a 64-bit number holds beside their count.
+PLAIN = 7
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(PLAIN + 1)], dtype=_u)
+SIP_KEY = "vellumist-words!"
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte runs: one to one up to PLAIN bytes, keyed SipHash beyond."""
+    sizes = ends - starts
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    short = np.minimum(sizes, PLAIN)
+    out = mix((eight[starts] & _MASK[short]) | (short.astype(_u) << _u(56)))
+    long = np.flatnonzero(sizes > PLAIN)
+    if len(long):
+        raw = data.tobytes()
+        words = np.empty(len(long), object)
+        words[:] = [raw[i:j] for i, j in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = pd.util.hash_array(words, hash_key=SIP_KEY)
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64."""
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        base = int(_ODD[5])
-        up, down = np.full(size, base, dtype=_u), np.full(size, pow(base, -1, 1 << 64), dtype=_u)
-        up[0] = down[0] = 1
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
+def _chain(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word) * _ODD[6]
+    return h ^ (h >> _u(29))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (hash, document) of the k-word shingles of texts, given as one buffer of UTF-8 bytes and its offsets."""
     docs = len(offsets) - 1
-    data = data[offsets[0] : offsets[-1]]
+    data = _LOWER[data[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
     if not len(data):
         return np.empty(0, _u), np.empty(0, np.int64)
@@ -103,16 +118,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.empty(0, _u), np.empty(0, np.int64)
-    up, down = powers(len(data))
-    sums = np.empty(len(data) + 1, _u)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_u) * _G)
+    words = word_hashes(data, starts, ends)
     owner = np.searchsorted(offsets, starts, "right") - 1
     count = np.bincount(owner, minlength=docs)
     h = np.zeros(max(0, len(words) - k + 1), _u)
     for i in range(k):
-        h = h * _ODD[6] + words[i : i + len(h)]
+        h = _chain(h, words[i : i + len(h)])
     whole = owner[: len(h)] == owner[k - 1 :] if len(h) else np.empty(0, bool)
     h, own = mix(h[whole]), owner[: len(h)][whole]
     short = np.flatnonzero((count > 0) & (count < k))
@@ -121,7 +132,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.
         few = np.zeros(len(short), _u)
         for i in range(k - 1):
             has = count[short] > i
-            few[has] = few[has] * _ODD[6] + words[at[short][has] + i]
+            few[has] = _chain(few[has], words[at[short][has] + i])
         h, own = np.concatenate([h, mix(few + count[short].astype(_u), 3)]), np.concatenate([own, short])
         resort = np.argsort(own, kind="stable")
         h, own = h[resort], own[resort]
@@ -162,6 +173,11 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the hash bucket, not falling with the token."""
+    return ((token >> _u(BITS - 32)) * _u(buckets)) >> _u(32)
+
+
 def deal(buckets: int, k: int):
     """mapInArrow function: texts to bucket runs and block headers (DEALT)."""
 
@@ -186,13 +202,12 @@ def deal(buckets: int, k: int):
         hot = np.repeat(count >= LOCAL_HOT, count)
         head += [token[count >= LOCAL_HOT], narrow(count[count >= LOCAL_HOT]), narrow(own[hot])]
         yield buckets + blk % buckets, 1, blk, pack(*head)
-        cuts = np.searchsorted(token, np.array([-(-(b << BITS) // buckets) for b in range(1, buckets)], dtype=_u))
         ends = np.append(0, np.cumsum(np.where(count >= LOCAL_HOT, 0, count)))
         cold = own[~hot]
-        for b, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(token)])):
-            if j > i:
-                steps = np.diff(token[i:j])
-                yield b, 0, blk, pack(token[i : i + 1], narrow(steps), narrow(count[i:j]), narrow(cold[ends[i] : ends[j]]))
+        bucket = bucket_of(token, buckets)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(token)] if len(token) else []):  # only buckets that the block has tokens for
+            yield int(bucket[i]), 0, blk, pack(token[i : i + 1], narrow(np.diff(token[i:j])), narrow(count[i:j]), narrow(cold[ends[i] : ends[j]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -245,12 +260,12 @@ def order_block(percent: int):
         tokens, dfs, owns = [np.empty(0, _u)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for raw in rows.loc[rows["kind"] == 0, "payload"]:
             token, df, count, own, hot_token, hot_df = unpack(raw)
-            for t, d in zip(hot_token, hot_df):
-                i = int(np.searchsorted(hot, t))
-                members = hot_own[hot_at[i] : hot_at[i + 1]]
-                tokens.append(np.full(len(members), t, _u))
-                dfs.append(np.full(len(members), d, np.int64))
-                owns.append(members.astype(np.int64))
+            i = np.searchsorted(hot, hot_token)
+            each = hot_count.astype(np.int64)[i]
+            ends = np.cumsum(each)
+            tokens.append(np.repeat(hot_token, each))
+            dfs.append(np.repeat(hot_df.astype(np.int64), each))
+            owns.append(hot_own[np.arange(ends[-1] if len(ends) else 0) + np.repeat(hot_at[i] - ends + each, each)].astype(np.int64))
             tokens.append(np.repeat(token, count))
             dfs.append(np.repeat(df.astype(np.int64), count))
             owns.append(own.astype(np.int64))
@@ -288,57 +303,33 @@ def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-BIT_COLUMNS = tuple(f"bits{i}" for i in range(4))
-
-
-def with_bits(classes: DataFrame) -> DataFrame:
-    """cid, single and 256 bits of each set, the parity of its shared shingles by hash.
-
-    Bits in which two sets differ are at most the shingles in which they differ, so too many of them, with the shingles that only one text has, rule a pair out.
-    """
-
-
-    def word(i: int):
-        mine = F.filter("toks", lambda t: F.shiftrightunsigned(t, 6) % 4 == i)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (t % 64).cast("int"))))
-
-    return classes.select("cid", "single", *[word(i).alias(c) for i, c in enumerate(BIT_COLUMNS)])
-
-
 def _sizes_fit(na, nb, percent: int):
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
 class _Links:
-    """Connected classes so far: labels (cid, comp), and the pairs that were tested."""
+    """Connected classes so far, as labels (cid, comp)."""
 
-    def __init__(self, classes: DataFrame, percent: int):
-        self.classes, self.percent = classes, percent
+    def __init__(self) -> None:
         self.labels: DataFrame | None = None
-        self.tested: DataFrame | None = None
 
     def label(self, df: DataFrame, col: str, out: str) -> DataFrame:
         if self.labels is None:
             return df.withColumn(out, F.col(col))
         return df.join(self.labels.select(F.col("cid").alias(col), F.col("comp").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Verify new pairs (a, b), a < b, and merge what is similar. True if anything merged."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.distinct(), "join-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        edges = self.label(self.label(verify(pairs, self.classes, self.percent), "a", "ca"), "b", "cb").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = components(edges)
+    def merge(self, edges: DataFrame) -> None:
+        """Connect the classes of edges (a, b)."""
+        apart = self.label(self.label(edges, "a", "ca"), "b", "cb").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(apart)
         if not merged.limit(1).count():
-            return False
+            return
         if self.labels is None:
             self.labels = merged.select(F.col("node").alias("cid"), "comp")
         else:
             moved = self.labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp"))
             fresh = merged.join(self.labels, merged["node"] == self.labels["cid"], "left_anti").select(F.col("node").alias("cid"), merged["comp"])
             self.labels = materialize(moved.unionByName(fresh), "join-labels")
-        return True
 
 
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -350,53 +341,110 @@ def link(classes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     grouped = classes.select("cid", "n", "single", F.slice("toks", F.lit(1), F.col("npre")).alias("prefix"))
     grouped = materialize(grouped.withColumn("gid", F.min("cid").over(Window.partitionBy("n", "single", "prefix"))), "join-groups")
     members = grouped.select("gid", "cid")
-    # A row for each group and shingle of its prefix, where another group has it too, or each member of a group of several.
-    rows = grouped.filter("gid = cid").select("gid", "n", "single", F.posexplode("prefix").alias("pos", "tok")).withColumn("most", F.col("n") - F.col("single") - F.col("pos")).drop("pos", "single")
+    # A row for each group and shingle of its prefix, where another group has it too.
+    rows = grouped.filter("gid = cid").select("gid", "n", F.explode("prefix").alias("tok"))
     shared = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("tok")
     rows = materialize(rows.join(shared, "tok").withColumn("comp", F.col("gid")), "join-prefixes")
-    links = _Links(classes.select("cid", "n", "toks"), percent)
+    links = _Links()
     inside = _ordered(members.filter("gid != cid"), "gid", "cid")
-    torn = open_tokens = None
+    torn = torn_tokens = None
     for seed in range(ROUNDS):
-        # A bucket's leader is its group of least hash. First each group meets the least of its leaders, later all whose component is another.
+        # A bucket's leader is its group of least hash; each group meets the least leader that is of another component.
         by_hash = F.struct(F.xxhash64(F.lit(seed), "gid").alias("h"), "gid", "n", "comp")
         best = rows.groupBy("tok").agg(F.min(by_hash).alias("l"))
-        met = rows.join(best, "tok").filter((F.col("comp") != F.col("l.comp")) & _sizes_fit(F.col("n"), F.col("l.n"), percent))
-        met = met.groupBy("gid").agg(F.min("l").alias("l")) if seed == 0 else met.select("gid", "l").distinct()
+        met = rows.join(best, "tok").filter((F.col("comp") != F.col("l.comp")) & _sizes_fit(F.col("n"), F.col("l.n"), percent)).groupBy("gid").agg(F.min("l").alias("l"))
         pairs = _ordered(met.select("gid", F.col("l.gid").alias("leader")).join(members, "gid"), "leader", "cid")
-        links.test(pairs.unionByName(inside) if seed == 0 else pairs)
-        # Buckets whose groups are all connected are done.
+        pairs = pairs.unionByName(inside) if seed == 0 else pairs
+        links.merge(materialize(verify(materialize(pairs.distinct(), "join-pairs"), classes, percent), "join-links"))
+        # Buckets whose groups are all connected are done, but for groups whose members are in several components.
         labelled = links.label(rows.drop("comp"), "gid", "comp")
         mixed = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("tok")
         if torn is None:
-            # A group whose members are in several components is not done, though it has one label here.
-            own = links.label(members, "cid", "comp")
-            torn = materialize(own.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("gid"), "join-torn")
-            mixed = mixed.unionByName(rows.join(torn, "gid", "left_semi").select("tok")).distinct()
-            open_tokens = materialize(rows.join(torn, "gid", "left_semi").select("tok").distinct(), "join-open")
-        else:
-            mixed = mixed.unionByName(open_tokens).distinct()
-        rows = materialize(labelled.join(mixed, "tok").select("tok", "gid", "n", "most", "comp"), "join-prefixes")
-    # What still shares a bucket across components, all of it.
-    full = links.label(rows.drop("comp").join(members, "gid").select("tok", "cid", "n", "most"), "cid", "comp")
-    full = full.join(with_bits(classes), "cid")
-    own_columns = ("cid", "n", "most", "comp", "single", *BIT_COLUMNS)
-    x, y = (full.select("tok", *[F.col(c).alias(f"{side}_{c}") for c in own_columns]) for side in "xy")
-    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
-    fits = (F.col("x_cid") < F.col("y_cid")) & (F.col("x_comp") != F.col("y_comp")) & _sizes_fit(F.col("x_n"), F.col("y_n"), percent) & (F.least("x_most", "y_most") >= need)
-    apart = F.col("x_single") + F.col("y_single")
-    for b in BIT_COLUMNS:
-        apart = apart + F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}")))
-    fits = fits & (apart <= F.col("x_n") + F.col("y_n") - 2 * need)
-    rest = x.join(y, "tok").filter(fits).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"))
-    # Groups whose own leader was too far from some of its members.
-    own = links.label(grouped.select("gid", "cid"), "cid", "comp")
-    own = own.join(torn, "gid")
-    twins = own.select("gid", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(own.select("gid", F.col("cid").alias("b"), F.col("comp").alias("cb")), "gid").filter("a < b and ca != cb").select("a", "b")
-    links.test(rest.unionByName(twins))
+            parts = links.label(members, "cid", "comp").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            torn = materialize(parts.filter("lo != hi").select("gid"), "join-torn")
+            torn_tokens = materialize(rows.join(torn, "gid", "left_semi").select("tok").distinct(), "join-open")
+        rows = materialize(labelled.join(mixed.unionByName(torn_tokens).distinct(), "tok").select("tok", "gid", "n", "comp"), "join-prefixes")
+    # A torn group is a bucket of its own, under a number that prefix shingles (48 bits) rarely have; if one has, both are one bucket.
+    own = members.join(torn, "gid", "left_semi").select(F.xxhash64(F.lit("group"), "gid").alias("tok"), "cid")
+    left = links.label(rows.join(members, "gid").select("tok", "cid").unionByName(own), "cid", "comp")
+    links.merge(materialize(test_cells(materialize(left, "join-open-buckets"), classes, percent), "join-links"))
     return links.labels
 
 
+def test_cells(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all similar members (tok, cid, comp) of each bucket that are of different components."""
+    lead = left.groupBy("tok").agg(F.min(F.struct(F.xxhash64("comp"), "comp")).alias("l")).select("tok", F.col("l.comp").alias("cell"))
+    cells = left.join(lead, "tok").groupBy("cell", "cid").agg(F.min("comp").alias("comp"), F.collect_set("tok").alias("open"))
+    cells = materialize(cells.join(classes.select("cid", "n", "toks"), "cid").withColumn("bytes", 8 * (F.size("toks") + F.size("open"))), "join-cells")
+    # Parts of a cell: those of its largest component, which need not meet each other, then the others.
+    sizes = cells.groupBy("cell", "comp").agg(F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("cell").agg(F.max_by("comp", "bytes").alias("main"), F.max("bytes").alias("most"), F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    sizes = materialize(sizes, "join-cell-sizes")
+    small = sizes.filter(F.col("total") <= PART_BYTES).agg(F.sum("total")).first()[0] or 0
+    bins = max(1, ceil(small / PART_BYTES))
+    parts = [F.ceil(F.col(c) / PART_BYTES).cast("int") for c in ("most", "rest")]
+    dealt = cells.join(sizes.withColumn("rest", F.col("total") - F.col("most")), "cell").withColumns({"c1": parts[0], "c2": parts[1]})
+    one = F.col("total") <= PART_BYTES
+    part = F.when(one, 0).when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("cid"), "c1")).otherwise(F.col("c1") + F.pmod(F.xxhash64("cid"), "c2")).cast("int")
+    dealt = dealt.withColumn("part", part)
+    block = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    last, me = F.col("c1") + F.col("c2") - 1, F.col("part")
+    ahead = F.when(F.greatest(me + 1, "c1") <= last, F.transform(F.sequence(F.greatest(me + 1, "c1"), last), lambda j: block(me, j))).otherwise(F.expr("array()"))
+    behind = F.when(me >= F.col("c1"), F.transform(F.sequence(F.lit(0), me), lambda i: block(i, me))).otherwise(F.expr("array()"))
+    blocks = F.when(one, F.array(block(F.lit(0), F.lit(0)))).otherwise(F.concat(ahead, behind))
+    job = F.when(one, F.pmod(F.xxhash64("cell"), F.lit(bins))).otherwise(F.lit(-1))
+    dealt = dealt.select(job.alias("job"), F.when(one, 0).otherwise(F.col("cell")).alias("of"), "cell", F.explode(blocks).alias("at"), "part", "cid", "comp", "n", "toks", "open")
+    dealt = dealt.select("job", "of", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "cell", "part", "cid", "comp", "n", "toks", "open")
+    return dealt.groupBy("job", "of", "lo", "hi").applyInPandas(test_block(percent), "a long, b long")
+
+
+def test_block(percent: int):
+    """Function of the members of one block: a link for each two components that some similar pair connects."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if (rows["lo"].iloc[0] != rows["hi"].iloc[0]) and rows["part"].nunique() == 1:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        within = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        cid, n, part = (rows[c].to_numpy() for c in ("cid", "n", "part"))
+        root = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]
+        size = np.fromiter(map(len, rows["toks"]), np.int64, len(rows))
+        at = np.cumsum(size) - size
+        flat = np.unique(np.concatenate(rows["toks"].to_list()), return_inverse=True)[1]
+        # Buckets: members by (cell, open shingle).
+        opened = np.fromiter(map(len, rows["open"]), np.int64, len(rows))
+        cell = np.unique(rows["cell"].to_numpy(), return_inverse=True)[1]
+        keys = np.unique(np.stack([np.repeat(cell, opened), np.unique(np.concatenate(rows["open"].to_list()), return_inverse=True)[1]]), axis=1, return_inverse=True)[1].ravel()
+        by_key = np.argsort(keys, kind="stable")
+        holders = np.split(np.repeat(np.arange(len(rows)), opened)[by_key], np.flatnonzero(np.diff(keys[by_key])) + 1)
+        own = np.split(keys, np.cumsum(opened)[:-1])
+        mark, links = np.zeros(int(flat.max(initial=-1)) + 1, bool), []
+        for x in range(len(rows)) if within else np.flatnonzero(part == rows["hi"].iloc[0]):
+            met = np.zeros(len(rows), bool)
+            for key in own[x]:
+                met[holders[key]] = True
+            if within:
+                met[: x + 1] = False
+            else:
+                met &= part != part[x]
+            met &= root != root[x]
+            y = np.flatnonzero(met)
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            y = y[np.minimum(size[x], size[y]) >= need]
+            if not len(y):
+                continue
+            mark[flat[at[x] : at[x] + size[x]]] = True
+            ends = np.cumsum(size[y])
+            hits = np.add.reduceat(mark[flat[np.arange(ends[-1]) + np.repeat(at[y] - ends + size[y], size[y])]].astype(np.int64), ends - size[y])
+            mark[flat[at[x] : at[x] + size[x]]] = False
+            for z in y[100 * hits >= percent * (n[x] + n[y] - hits)]:
+                if root[z] != root[x]:
+                    links.append((cid[x], cid[z]))
+                    root[root == root[z]] = root[x]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, class_id (smallest id of the equal set), component_id (smallest id that links reach)."""
     every = materialize(sets(docs, id_col, text_col, k, percent), "join-sets")
