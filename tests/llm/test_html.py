@@ -51,3 +51,25 @@ def test_nulls_empty_and_odd_markup(spark):
     text = {r.page_id: r.text for r in rows}
     assert text[1] == text[2] == text[5] == text[7] == "" and text[6] == "x" and text[None] == "a\n\nb\n\nc"
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_that_only_a_class_condemns():
+    long = "The house is on the hill and it was built for the people of the town, who had come from all over to see it. " * 3
+    side = "<div class='sidebar'><p>Most read in the town</p><ul><li><a href=1>One</a></ul></div>"
+    for wrapper in ("<div id='wrapper' class='has-sidebar'>", "<div class='content-sidebar-wrap'>", "<form action='/'>"):
+        page = f"<body><nav><a href=1>Home</a></nav>{wrapper}<div><p>{long}</p><p>Short.</p><p>{long}</p></div>{side}</div></form><footer>Imprint</footer></body>"
+        assert html_text.main_text(page).split("\n\n") == [long.strip(), "Short.", long.strip()]
+    comments = f"<div><p>It is the day of the week that we are in.</p></div><div class='comments'><p>{long}</p><p>{long}</p></div>"
+    assert long.strip() not in html_text.main_text(comments)
+    middling = "<nav><a href=1>Home</a></nav><p>It was the first day of the week and all of them were in the house on the hill.</p><footer>Imprint</footer>"
+    assert html_text.main_text(middling) == "It was the first day of the week and all of them were in the house on the hill."
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("<a ", "<a x='", "<a '>'", "<head>", "<!-", "<div class=ad>", "<", "</script ", '<p class="a" ', "&#"):
+        html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 50
+    assert html_text.main_text("<p title='a>b'>one</p><p title='x>two</p><p>three</p>") == "one\n\ntwo\n\nthree"

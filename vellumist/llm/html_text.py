@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block where it can: what stands in menus,
 headers, footers, sidebars, notices, adverts, forms or reader comments, or is mostly link text, is bad; what stands in
-an article or main element, or is long and rich in stop words, is good. The rest, short blocks above all, is ambiguous. The
+an article or main element, or is rich in stop words and not short, is good. The rest, short blocks above all, is ambiguous. A form, or an element that only its
+class or id condemns, is believed only as far as density agrees: on a page without article or main it is a mere wrapper if it holds more than half
+of the page's long blocks rich in stop words (reader comments and adverts are never pardoned). The
 second pass gives ambiguous blocks the label of the nearest decided neighbours; between two different ones the nearer, at equal distance
 good for blocks with some stop words and bad for others. If nothing on a page is decided, its ambiguous blocks are its text.
 
@@ -44,10 +46,16 @@ MARKS = frozenset(
 )
 #: Marks that also name parts of an article.
 OWN_PARTS = frozenset(["header", "banner", "notice", "alert"])
+#: Marks that no amount of running text outweighs.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent gdpr comment comments commentlist reply replies respond disqus discussion".split())
 CONTENT = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: A tag whose quoted values may hold >, the same without regard to quotes, and comments and declarations.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*+>", re.S)
+HEAD_END = re.compile(r"</head\s*>|(?=<body[\s>])", re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"\w+")
 
@@ -57,50 +65,81 @@ LINKS_OUTSIDE, LINKS_INSIDE = 0.4, 0.8
 
 
 class Block:
-    __slots__ = ("heading", "inside", "linked", "parts", "skip")
+    __slots__ = ("doubts", "heading", "inside", "linked", "parts", "skip")
 
-    def __init__(self, skip: bool, inside: bool, heading: bool):
+    def __init__(self, skips: list[list], inside: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.skip, self.inside, self.heading = 0, skip, inside, heading
+        self.linked, self.inside, self.heading = 0, inside, heading
+        self.skip = any(s[2] is None for s in skips)  # firmly
+        self.doubts = [] if self.skip else [s[2] for s in skips]
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element opens boilerplate. An article's own header is part of the article."""
+def boilerplate(tag: str, attributes: str, inside: bool) -> str:
+    """Whether an element opens boilerplate: "firm", "doubtful" or "". An article's own header is part of the article."""
     if tag in BOILERPLATE and not (inside and tag == "header"):
-        return True
+        return "doubtful" if tag == "form" else "firm"
     if not attributes or tag in ("html", "body") or tag in CONTENT:
-        return False
+        return ""
+    found = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             marks = MARKS.intersection(re.split(r"[^a-z0-9]+", value))
+            if marks & FIRM:
+                return "firm"
             if marks - OWN_PARTS if inside else marks:
-                return True
+                found = "doubtful"
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "firm"
+    return found
+
+
+class Tags:
+    """The tags, comments and declarations of a page, one after another, in one linear pass.
+
+    A < that no > follows is text. The first quote that is never closed ends the trust in quotes: a failed search goes to the end of the page, so
+    it is made once, and from there on every tag ends at its first >.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def after(self, at: int) -> re.Match | None:
+        while 0 <= (at := self.page.find("<", at)):
+            if at > self.last and not self.page.startswith(("<!--", "<![CDATA["), at):
+                return None
+            m = None
+            if self.quoted and at < self.last:
+                m = TAG.match(self.page, at)
+            if not m:
+                m = OTHER.match(self.page, at) or (PLAIN_TAG.match(self.page, at) if at < self.last else None)
+                self.quoted = self.quoted and not (m and m.re is PLAIN_TAG)
+            if m:
+                return m
+            at += 1
+        return None
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with what their tags say about them."""
     out: list[Block] = []
-    # Open boilerplate and content elements, each with the number of open elements of its own name inside it.
+    # Open boilerplate and content elements, each with the number of open elements of its own name inside it, and a number if doubtful.
     skips: list[list] = []
     contents: list[list] = []
-    links, breaks, heading = 0, 0, False
-    block = Block(False, False, False)
+    links, breaks, heading, doubts = 0, 0, False, 0
+    block = Block([], False, False)
 
     def fresh() -> Block:
         if any(p.strip() for p in block.parts):
             out.append(block)
-        return Block(bool(skips), bool(contents), heading)
+        return Block(skips, bool(contents), heading)
 
-    at, size = 0, len(page)
+    at, size, tags, headless = 0, len(page), Tags(page), False
     while at < size:
-        m = TOKEN.search(page, at)
+        m = tags.after(at)
         text = page[at : m.start() if m else size]
         if text:
             block.parts.append(text)
@@ -111,19 +150,18 @@ def blocks_of(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m.re is OTHER:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
         if tag == "head":
-            if not closing:
-                end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                at = end.end() if end else at
+            if not closing and not headless:
+                end = HEAD_END.search(page, at)
+                at, headless = end.end() if end else at, end is None
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else 1
@@ -150,10 +188,11 @@ def blocks_of(page: str) -> list[Block]:
             if tag in CONTENT:
                 skips = [] if not contents else skips
                 if not skips:
-                    contents.append([tag, 1])
+                    contents.append([tag, 1, None])
                     changed = True
-            elif boilerplate(tag, attributes, bool(contents)):
-                skips.append([tag, 1])
+            elif not (skips and skips[-1][2] is None) and (kind := boilerplate(tag, attributes, bool(contents))):
+                doubts += kind == "doubtful"
+                skips.append([tag, 1, doubts if kind == "doubtful" else None])
                 changed = True
         if tag in BLOCKS or changed:
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -162,25 +201,42 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def decide(block: Block, text: str) -> tuple[str, bool]:
-    """First pass: good, bad or "", and whether the block has some stop words."""
+def density(block: Block, text: str) -> tuple[float, float]:
+    """Shares of stop words and of link text."""
     words = WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    some, links = stops >= STOP_LOW, block.linked / max(1, len(text))
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words)), block.linked / max(1, len(text))
+
+
+def decide(block: Block, text: str, stops: float, links: float) -> str:
+    """First pass: good, bad or ""."""
     if block.skip:
-        return "bad", some
+        return "bad"
     if links > (LINKS_INSIDE if block.inside else LINKS_OUTSIDE):
-        return ("", some) if block.inside and block.heading else ("bad", some)
-    if block.inside or len(text) >= LONG and stops >= STOP_HIGH:
-        return "good", some
-    return "", some
+        return "" if block.inside and block.heading else "bad"
+    return "good" if block.inside or len(text) >= SHORT and stops >= STOP_HIGH else ""
+
+
+def pardon(found: list[tuple[Block, str]], shares: list[tuple[float, float]]) -> None:
+    """Settle the doubtful elements: of a page without content elements, those that hold most of its running text are no boilerplate."""
+    running: dict[int, int] = {}
+    total = 0
+    if not any(b.inside for b, _ in found):
+        for (b, t), (stops, links) in zip(found, shares):
+            if not b.skip and len(t) >= LONG and stops >= STOP_HIGH and links <= LINKS_OUTSIDE:
+                total += len(t)
+                for d in b.doubts:
+                    running[d] = running.get(d, 0) + len(t)
+    for b, _ in found:
+        b.skip = b.skip or any(2 * running.get(d, 0) <= total for d in b.doubts)
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = [(b, t) for b in blocks_of(page) if (t := b.text())]
-    marks = [decide(b, t) for b, t in found]
+    shares = [density(b, t) for b, t in found]
+    pardon(found, shares)
+    marks = [(decide(b, t, *share), share[0] >= STOP_LOW) for (b, t), share in zip(found, shares)]
     # Distance and label of the nearest decided block on either side.
     sides = []
     for order in (range(len(marks)), range(len(marks) - 1, -1, -1)):
