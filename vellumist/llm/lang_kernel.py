@@ -6,8 +6,9 @@ language, turn the kernel into features K(x, L) K(L, L)^(-1/2); one-versus-rest
 a value for each language. As the kernel is linear in the presence rows, the landmarks, the root and the weights fold into one
 matrix, and a batch of whole texts is scored by one product of its presence rows with it.
 
-The model is fitted on about ``PER_LANGUAGE`` texts of each of at most ``MOST_LANGUAGES`` languages, about ``MOST_ROWS`` in all, chosen by a hash of the
-id; they come to the driver as presence bits of ``WIDTH`` / 8 bytes each.
+The model is fitted on about ``PER_LANGUAGE`` texts of each language, about ``MOST_ROWS`` in all or two a language, chosen by a hash of the
+id; they come to the driver as presence bits of ``WIDTH`` / 8 bytes each. No language is left out: more languages have fewer texts and landmarks
+each, and the folded matrix takes ``WIDTH`` * 4 bytes a language.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, and for every text if nothing was learned; rows without an id may be scored, never
 learned from; repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 WIDTH = 1 << 15
 ORDERS = (2, 3, 4)
-PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES = 500, 48, 200
+PER_LANGUAGE, LANDMARKS = 500, 48
 #: Bounds over all languages together.
 MOST_ROWS, MOST_LANDMARKS = 10_000, 960
 RIDGE, SHARPNESS = 1e-3, 5.0
@@ -85,7 +86,7 @@ def fit(bits: np.ndarray, langs: list[str]) -> dict | None:
     if not names:
         return None
     y = np.array([names.index(x) for x in langs])
-    each = max(4, min(LANDMARKS, MOST_LANDMARKS // len(names)))
+    each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(names)))
     chosen = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(names))])
     marks = normed(unpacked(bits[chosen]))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -120,13 +121,13 @@ def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], np.
 
 def train(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & trainable)
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy("lang").collect()
     if not counts:
         return None
-    each = min(PER_LANGUAGE, MOST_ROWS // len(counts))
+    each = max(2, min(PER_LANGUAGE, MOST_ROWS // len(counts)))
     # Of each language about so many rows: those whose hash is below its own bound.
-    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, each / r["count"]) * (1 << 30)))])
-    few = rows.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < F.coalesce(bound[F.col(lang_col)], F.lit(0)))
+    bound = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30))) for r in counts], "__lang string, __bound long")
+    few = rows.join(F.broadcast(bound), F.col(lang_col).cast("string") == F.col("__lang")).filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < F.col("__bound"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
