@@ -34,7 +34,7 @@ CAP = 3
 #: Per-source parameters are broadcast up to so many sources; beyond, Spark shuffles and AQE splits skew.
 BROADCAST_SOURCES = 20_000
 BINS, REFINEMENTS, KAPPA_MAX = 1024, 3, 4.0
-STEPS_A_JOB, JOBS, TOLERANCE = 5, 8, 1e-7
+STEPS_A_JOB, JOBS, TOLERANCE = 5, 40, 1e-7
 
 
 def words(text: Column) -> Column:
@@ -105,8 +105,8 @@ def solve(histogram: DataFrame, sources: DataFrame, n_sources: int, cap: float =
             )
         state = materialize(state, "mix-dual")
         if (state.agg(F.max("gap")).first()[0] or 0.0) < TOLERANCE:
-            break
-    return state
+            return state
+    raise ArithmeticError(f"the dual did not converge in {JOBS * STEPS_A_JOB} steps")
 
 
 def thresholds(sizes: DataFrame, state: DataFrame, n_sources: int, cap: float = CAP) -> DataFrame:
