@@ -80,10 +80,11 @@ def queries():
 
 ORACLE_SQL = {
     "op9_exact_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+        queries AS (SELECT vec_id, max(e) AS e FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
         scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
                           CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+                   FROM queries q JOIN v c ON q.vec_id <> c.vec_id),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
