@@ -60,3 +60,18 @@ def test_every_stage_against_brute_force(spark):
     text = {r.doc_id: r.text for r in mixed}
     real = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     assert all(r.ids == real.encode_ordinary(text[r.doc_id]) for r in ids)
+
+
+def test_nulls_repeats_clashing_names_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = read_table(spark, SF, "documents").limit(30)
+    extra = {c: F.lit("own") for c in ("score", "predicted", "copy", "size", "key", "__score", "id")}
+    odd = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("string")).otherwise(""))
+    docs = docs.unionByName(docs).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))).withColumns(extra)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, SF), f"test-odd-{name}")
+        assert out.columns == docs.columns and {r[c] for r in out.collect() for c in extra} <= {"own"}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        docs = out
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0

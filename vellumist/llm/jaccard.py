@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumist.llm.batches import hand_back
 from vellumist.llm.components import components
 from vellumist.runtime import materialize
 
@@ -221,6 +222,7 @@ def deal(buckets: int, k: int):
                 rows = list(rows_of(batch.slice(at, upto - at), blk))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["dest", "kind", "blk", "payload"])
                 at, blk = upto, blk + 1
+        hand_back()
 
     return run
 
@@ -247,6 +249,7 @@ def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             keep = many & ~hot
             if many.any():
                 out.append((blk, 0, pack(token[keep], narrow(d[keep]), narrow(count[keep]), narrow(own[cold]), token[hot], narrow(d[hot]))))
+    hand_back()
     return pd.DataFrame(out, columns=["blk", "kind", "payload"])
 
 

@@ -5,8 +5,9 @@ repeated words, function words, length, ending) and those of the neighbouring li
 neighbours. Training lines take the label of their document. Forward-backward marginals, weighted by the lines' lengths, give the expected
 good share of a document; a logistic curve over that share and the worst line's marginal, fitted on the same sample, gives the score.
 
-The classifier is fitted on at most about ``SAMPLE`` labelled documents, chosen by a hash of their id; features of the sample are computed where the
-texts are, and only they come to the driver. Scoring covers every whole text, one pass, no shuffle.
+The classifier is fitted on at most about ``SAMPLE`` labelled documents, chosen by a hash of their id, in the hash's order as long as they have no more
+than ``SAMPLE_LINES`` lines together; an id that several rows have counts once, with its least text. Features of the sample are computed where the
+texts are, and only they come to the driver, at most 250 bytes a line. Scoring covers every whole text, one pass, no shuffle, in slices of bounded bytes.
 
 Defined cases: a null text, an empty one and one without any word score as the mean of an empty line does; lines without words are left out of a text that has others; rows that
 repeat are scored each; other columns are ignored; an empty table gives an empty result; without training rows of both labels every score is the share of label 1 (0.5 without any).
@@ -18,12 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumist.llm.batches import hand_back, slices
+from vellumist.runtime import materialize
+
 SAMPLE = 6000
-SLICE = 400
+SAMPLE_LINES = 200_000
+SLICE, SLICE_BYTES = 400, 1_000_000
 THRESHOLD = 0.3
 
 #: Function words: the commonest of four languages, enough to tell running text from lists of words.
@@ -199,7 +204,13 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     part = min(1.0, sample / max(1, n))
     # About 4 standard deviations above the sample size is the bound of what is broadcast.
     chosen = usable.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30))).limit(sample + 4 * int(sample**0.5))
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), "label")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(id_col, text.alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
+    rows = materialize(rows.withColumn("h", F.xxhash64(F.lit(6), id_col)).withColumn("lines", F.size(F.split("text", "\n"))), "crf-sample")
+    # The window is over at most the sample's rows, without their texts.
+    before = F.sum("lines").over(Window.orderBy("h", id_col))
+    within = rows.select(id_col, "h", "lines").withColumn("upto", before).filter(F.col("upto") <= SAMPLE_LINES).select(id_col)
+    rows = rows.join(F.broadcast(within), id_col, "left_semi").select("text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,22 +218,22 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
                 x, w = text_features(text)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([w.tobytes()]), pa.array([label], pa.int32())], names=["x", "w", "label"])
 
-    got = rows.withColumn("label", F.col("label").cast("int")).mapInArrow(features, "x binary, w binary, label int").orderBy("label", "x").collect()
+    got = rows.withColumn("label", F.col("label").cast("int")).mapInArrow(features, "x binary, w binary, label int").collect()
+    got.sort(key=lambda r: (r.label, bytes(r.x), bytes(r.w)))
     texts = [(np.frombuffer(r.x, np.float32).reshape(-1, FEATURES), np.frombuffer(r.w, np.float64)) for r in got]
     return fit(texts, np.array([r.label for r in got], dtype=np.int64))
 
 
-def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted. Columns of these names are replaced."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """docs with a score and a prediction. Columns of their two names are replaced."""
+    keep = [c for c in docs.columns if c not in (score_col, predicted_col)]
     place = keep.index(text_col)
-    fields = [docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                scores = score(crf, part.column(place).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[f.name for f in fields])
+            scores = np.concatenate([np.empty(0), *(score(crf, part.column(place).to_pylist()) for part in slices(batch, place, SLICE_BYTES, SLICE))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[f.name for f in fields])
+        hand_back()
 
     return docs.select(*keep).mapInArrow(run, T.StructType(fields))
