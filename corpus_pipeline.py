@@ -2,6 +2,10 @@
 
 A stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined cases, for every stage: a null or empty text is scored as an empty line is, links with nothing, holds no secret, is taken once by the mix and has
+no tokens; rows that repeat id and text count once after the join, and rows without an id stay; an empty table gives an empty one; other columns go through as they are,
+whatever their names, and the last stage leaves them out.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from vellumist.runtime import materialize, read_table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF, learned from the labelled ones outside the held-out fold, does not reject."""
     crf = line_crf.train(docs, read_table(spark, sf_dir, "labels"), crc_remainder("doc_id", 5) != 0)
-    return line_crf.classify(docs, crf).filter("predicted = 1").select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    score, passed = (next(n for n in (f"__{x}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for x in ("score", "passed"))
+    return line_crf.classify(docs, crf, score_col=score, predicted_col=passed).filter(F.col(passed) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
