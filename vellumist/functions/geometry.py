@@ -25,11 +25,13 @@ def ring_area(points: DataFrame, key: str = "line_id") -> DataFrame:
 
 
 def corner_angle(points: DataFrame, key: str = "line_id") -> DataFrame:
-    """key, seq, angle: the angle at every inner point, in degrees."""
+    """key, seq, angle: the angle at every inner point, in degrees; 180 where a neighbor coincides with the point."""
     w = in_order(key)
     ax, ay = F.lag("px").over(w) - F.col("px"), F.lag("py").over(w) - F.col("py")
     bx, by = F.lead("px").over(w) - F.col("px"), F.lead("py").over(w) - F.col("py")
-    return points.select(key, "seq", F.degrees(F.abs(F.atan2(ax * by - ay * bx, ax * bx + ay * by))).alias("angle")).filter("angle is not null")
+    flat = ((ax == 0) & (ay == 0)) | ((bx == 0) & (by == 0))
+    angle = F.when(flat, 180.0).otherwise(F.degrees(F.abs(F.atan2(ax * by - ay * bx, ax * bx + ay * by))))
+    return points.select(key, "seq", F.when(ax.isNotNull() & bx.isNotNull(), angle).alias("angle")).filter("angle is not null")
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

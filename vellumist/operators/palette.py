@@ -78,7 +78,7 @@ def kmeans(pixels: DataFrame, colors: list[tuple[int, int, int]], rounds: int =
     return colors
 
 
-def interior_palette(pixels: DataFrame, label: str = "label", least: int = 4) -> DataFrame:
+def interior_palette(pixels: DataFrame, label: str = "label", least: int = 16) -> DataFrame:
     """image_id, label, r, g, b, inner: lower median of each channel over interior pixels (all four neighbors alike), over all of a label with too few."""
     alike = None
     for n in grid.four(label):

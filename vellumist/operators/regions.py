@@ -118,10 +118,10 @@ def dissolve_bands(labels: DataFrame, label: str = "m") -> DataFrame:
 
 def potts_round(labels: DataFrame, cost: DataFrame, weight: float, label: str = "m") -> DataFrame:
     """One synchronous Potts round: least of data cost + weight * disagreeing labeled 8-neighbors; candidates are the own label, then neighbors in
-    order, and only a strictly smaller cost moves. cost: image_id, x, y, costs (array by label)."""
+    order, and only a cost smaller by 1e-9 moves. cost: image_id, x, y, costs (array by label)."""
     near = grid.with_eight(grid.by_image(labels), label).join(cost, ["image_id", "x", "y"]).withColumn("v", _votes(labels))
     choices = F.array_distinct(F.concat(F.array(label), "v"))
-    total = F.transform(choices, lambda k, i: F.struct((F.element_at("costs", k + 1) + weight * F.size(F.filter("v", lambda x: x != k))).alias("c"), i.alias("i"), k.alias("k")))
+    total = F.transform(choices, lambda k, i: F.struct((F.round(F.element_at("costs", k + 1) + weight * F.size(F.filter("v", lambda x: x != k)), 9)).alias("c"), i.alias("i"), k.alias("k")))
     return near.select("image_id", "x", "y", F.when(F.col(label) < 0, F.col(label)).otherwise(F.array_min(total)["k"]).alias(label))
 
 

@@ -116,12 +116,18 @@ def oklab(spark, sf_dir):
     return px_rgb(spark, sf_dir).select("r", "g", "b").distinct().select("r", "g", "b", *[rnd(c).alias(n) for c, n in zip(lab_, ("l_", "a_", "b_"))])
 
 
-@query(f"WITH {RGB} SELECT count(*) AS n, count(*) AS same FROM (SELECT DISTINCT r, g, b FROM rgb)")
+def _back_sql(l_: str, a_: str, b_: str) -> list[str]:
+    cubes = [f"pow({dot(row, (l_, a_, b_))}, 3)" for row in color.LMS_BACK]
+    light = [dot(row, cubes) for row in color.RGB_BACK]
+    return [f"CAST(greatest(0, least(255, floor(255 * (CASE WHEN {c} <= 0.0031308e0 THEN 12.92e0 * {c} ELSE 1.055e0 * pow(greatest({c}, 0e0), 1e0 / 2.4e0) - 0.055e0 END) + 0.5e0))) AS INTEGER)" for c in light]
+
+
+@query(f"WITH {RGB}, o AS (SELECT DISTINCT r, g, b, " + ", ".join(f"1.1e0 * {c} AS {n}" for c, n in zip(oklab_sql("r", "g", "b"), ("l_", "a_", "b_"))) + " FROM rgb) SELECT r, g, b, " + ", ".join(f"{c} AS {n}" for c, n in zip(_back_sql("l_", "a_", "b_"), ("r2", "g2", "b2"))) + " FROM o")
 def oklab_roundtrip(spark, sf_dir):
+    """To Oklab, a tenth lighter and more colorful, and back with clamping."""
     c = [F.col(x) for x in "rgb"]
-    back = color.oklab_to_rgb(*color.oklab(*c))
-    same = (back[0] == c[0]) & (back[1] == c[1]) & (back[2] == c[2])
-    return px_rgb(spark, sf_dir).select("r", "g", "b").distinct().agg(F.count(F.lit(1)).alias("n"), F.count(F.when(same, 1)).alias("same"))
+    back = color.oklab_to_rgb(*[1.1 * x for x in color.oklab(*c)])
+    return px_rgb(spark, sf_dir).select("r", "g", "b").distinct().select(*c, *[x.alias(n) for x, n in zip(back, ("r2", "g2", "b2"))])
 
 
 def lab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
@@ -202,7 +208,7 @@ def shoelace_area(spark, sf_dir):
 
 
 @query(f"""WITH {LINES}, s AS (SELECT line_id, seq, lag(px) OVER w - px AS ax, lag(py) OVER w - py AS ay, lead(px) OVER w - px AS bx, lead(py) OVER w - py AS by_ FROM p WINDOW w AS (PARTITION BY line_id ORDER BY seq))
-    SELECT line_id, CAST(seq AS INTEGER) AS seq, round(degrees(abs(atan2(ax * by_ - ay * bx, ax * bx + ay * by_))), 5) + 0e0 AS angle FROM s WHERE ax IS NOT NULL AND bx IS NOT NULL""")
+    SELECT line_id, CAST(seq AS INTEGER) AS seq, CASE WHEN (ax = 0 AND ay = 0) OR (bx = 0 AND by_ = 0) THEN 180e0 ELSE round(degrees(abs(atan2(ax * by_ - ay * bx, ax * bx + ay * by_))), 5) + 0e0 END AS angle FROM s WHERE ax IS NOT NULL AND bx IS NOT NULL""")
 def interior_angle(spark, sf_dir):
     return geometry.corner_angle(adapters.polyline(spark, sf_dir)).withColumn("angle", rnd("angle", 5))
 
@@ -416,16 +422,17 @@ def dissolve_bands(spark, sf_dir):
 
 
 def _potts_costs(spark, sf_dir):
-    d = [(F.col("g") - (64 * k + 32)) * (F.col("g") - (64 * k + 32)) for k in range(4)]
+    tone = [color.lightness(F.lit(64 * k + 32)) for k in range(4)]
+    d = [(color.lightness(F.col("g")) - t) * (color.lightness(F.col("g")) - t) for t in tone]
     return px_gray(spark, sf_dir).select("image_id", "x", "y", F.array(*[x.cast("double") for x in d]).alias("costs"))
 
 
 @query(f"""WITH {BANDS}, {VOTES}, cand AS (SELECT DISTINCT image_id, x, y, m, m AS k, -1 AS i FROM mask
         UNION ALL SELECT a.image_id, a.x, a.y, a.m, b.m, min((b.y - a.y + 1) * 3 + (b.x - a.x + 1)) FROM mask a JOIN mask b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND b.m <> a.m GROUP BY ALL),
-    c AS (SELECT c.*, pow(g.g - (64 * k + 32), 2) + 300 * (SELECT count(*) FROM near n WHERE n.image_id = c.image_id AND n.x = c.x AND n.y = c.y AND n.o <> k) AS cost FROM cand c JOIN gray g USING (image_id, x, y))
-    SELECT image_id, x, y, k AS m FROM c QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY cost, i) = 1""")
+    c AS (SELECT c.*, pow({oklab_sql('g.g', 'g.g', 'g.g')[0]} - {oklab_sql('(64 * k + 32)', '(64 * k + 32)', '(64 * k + 32)')[0]}, 2) + 0.004e0 * (SELECT count(*) FROM near n WHERE n.image_id = c.image_id AND n.x = c.x AND n.y = c.y AND n.o <> k) AS cost FROM cand c JOIN gray g USING (image_id, x, y))
+    SELECT image_id, x, y, k AS m FROM c QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY round(cost, 9), i) = 1""")
 def potts_smooth(spark, sf_dir):
-    return regions.potts_round(bands_of(spark, sf_dir), _potts_costs(spark, sf_dir), 300.0)
+    return regions.potts_round(bands_of(spark, sf_dir), _potts_costs(spark, sf_dir), 0.004)
 
 
 @query(f"""WITH RECURSIVE {BANDS}, {components_sql()} SELECT image_id, CAST(floor(log2(area) + 1e-9) AS INTEGER) AS bucket, count(*) AS n FROM (SELECT image_id, comp, count(*) AS area FROM comps GROUP BY ALL) GROUP BY ALL""")
@@ -446,7 +453,7 @@ def merge_small_regions(spark, sf_dir):
     return regions.merge_small(bands_of(spark, sf_dir), 3)
 
 
-@query(f"""WITH {MASK} SELECT a.image_id, a.x, a.y, min(CASE WHEN b.m = 0 THEN 3 * greatest(abs(a.x - b.x), abs(a.y - b.y)) + least(abs(a.x - b.x), abs(a.y - b.y)) END) AS d FROM mask a JOIN mask b USING (image_id) GROUP BY ALL""")
+@query(f"""WITH {MASK} SELECT a.image_id, a.x, a.y, min(CASE WHEN b.m = 0 THEN 3 * greatest(abs(a.x - b.x), abs(a.y - b.y)) + least(abs(a.x - b.x), abs(a.y - b.y)) END) / 3e0 AS d FROM mask a JOIN mask b USING (image_id) GROUP BY ALL""")
 def chamfer_distance(spark, sf_dir):
     return skeleton.chamfer(mask_of(spark, sf_dir))
 
@@ -510,7 +517,7 @@ def kmeans_labels(spark, sf_dir):
 @query(f"""WITH {RGB}, l AS (SELECT *, CAST(r // 64 AS INTEGER) AS label FROM rgb),
     m AS (SELECT *, coalesce(lag(label) OVER h = label AND lead(label) OVER h = label AND lag(label) OVER v = label AND lead(label) OVER v = label, false) AS inside FROM l {SIDES}),
     i AS (SELECT *, sum(CAST(inside AS INTEGER)) OVER (PARTITION BY image_id, label) AS inner_ FROM m)
-    SELECT image_id, label, CAST(quantile_disc(r, 0.5) AS INTEGER) AS r, CAST(quantile_disc(g, 0.5) AS INTEGER) AS g, CAST(quantile_disc(b, 0.5) AS INTEGER) AS b, CAST(min(inner_) AS BIGINT) AS "inner" FROM i WHERE inner_ < 4 OR inside GROUP BY ALL""")
+    SELECT image_id, label, CAST(quantile_disc(r, 0.5) AS INTEGER) AS r, CAST(quantile_disc(g, 0.5) AS INTEGER) AS g, CAST(quantile_disc(b, 0.5) AS INTEGER) AS b, CAST(min(inner_) AS BIGINT) AS "inner" FROM i WHERE inner_ < 16 OR inside GROUP BY ALL""")
 def interior_palette(spark, sf_dir):
     return palette.interior_palette(px_rgb(spark, sf_dir).withColumn("label", F.expr("int(r div 64)")))
 
@@ -678,8 +685,8 @@ def mean_delta_e(spark, sf_dir):
     return quality.mean_error(_pairs(spark, sf_dir)).withColumn("de", rnd("de"))
 
 
-@query(f"""WITH {RENDER}, e AS (SELECT DISTINCT a.image_id, a.x, a.y FROM rgb a JOIN rgb b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 48),
-    band AS (SELECT DISTINCT p.image_id, p.x, p.y FROM rgb p JOIN e ON e.image_id = p.image_id AND abs(e.x - p.x) <= 1 AND abs(e.y - p.y) <= 1)
+@query(f"""WITH {RENDER}, e AS (SELECT DISTINCT a.image_id, a.x, a.y FROM rgb a JOIN rgb b ON a.image_id = b.image_id AND (b.x - a.x = 1 AND b.y = a.y OR b.y - a.y = 1 AND b.x = a.x) AND abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 48),
+    band AS (SELECT DISTINCT p.image_id, p.x, p.y FROM rgb p JOIN e ON e.image_id = p.image_id AND abs(e.x - p.x) <= 2 AND abs(e.y - p.y) <= 2)
     SELECT image_id, round(avg({DELTA}), 6) + 0e0 AS de, count(*) AS n FROM pair JOIN band USING (image_id, x, y) GROUP BY image_id""")
 def edge_delta_e(spark, sf_dir):
     return quality.edge_error(_pairs(spark, sf_dir)).withColumn("de", rnd("de"))
@@ -714,30 +721,39 @@ def boundary_error(spark, sf_dir):
 
 # --- search
 
-CANDIDATES = """cand AS (SELECT p_brand AS run_id, p_partkey AS id, p_size / 200e0 AS mean_de, (p_partkey % 97) / 200e0 AS p95_de, p_partkey % 613 + 10 AS nodes, p_partkey % 41 + 1 AS paths, CAST(floor(p_retailprice) AS BIGINT) AS bytes, CAST(p_partkey % 31 + 2 AS INTEGER) AS colors FROM part),
-    base AS (SELECT run_id, min(nodes) AS bn, min(bytes) AS bb, min(colors) AS bc FROM cand GROUP BY run_id),
-    u AS (SELECT cand.*, greatest(0e0, least(1e0, 1 - 4 * (0.65e0 * mean_de + 0.35e0 * greatest(mean_de, p95_de)))) AS u_fidelity, 1 / (1 + nodes / CAST(greatest(1, bn) AS DOUBLE)) AS u_nodes, 1 / (1 + bytes / CAST(greatest(1, bb) AS DOUBLE)) AS u_bytes, 1 / (1 + colors / CAST(greatest(1, bc) AS DOUBLE)) AS u_colors FROM cand JOIN base USING (run_id)),
-    scored AS (SELECT *, exp(0.5e0 * ln(greatest(1e-4, u_fidelity)) + 0.2e0 * ln(greatest(1e-4, u_nodes)) + 0.2e0 * ln(greatest(1e-4, u_bytes)) + 0.1e0 * ln(greatest(1e-4, u_colors))) AS score FROM u)"""
+CANDIDATES = """cand AS (SELECT p_brand AS run_id, p_partkey AS id, p_size / 200e0 AS mean_de, (p_partkey % 97) / 200e0 AS p95_de, p_partkey % 613 + 10 AS nodes, p_partkey % 41 + 1 AS paths, CAST(floor(p_retailprice) AS BIGINT) AS bytes, CAST(p_partkey % 31 + 2 AS INTEGER) AS colors,
+        ([0.2e0, 0.15e0, 0.15e0, 0.05e0, 0.1e0, 0e0, 0e0])[p_partkey % 7 + 1] * CASE WHEN p_partkey % 2 = 0 THEN 0.5e0 ELSE 1e0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.2e0 ELSE 0e0 END AS dirt, p_partkey % 7 = 5 AS empty FROM part),
+    base AS (SELECT run_id, nodes AS bn, bytes AS bb, colors AS bc FROM cand QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY id) = 1),
+    u AS (SELECT cand.*, greatest(0e0, least(1e0, 1 - 4 * (0.65e0 * mean_de + 0.35e0 * greatest(mean_de, p95_de)))) AS u_fidelity, 1 / (1 + nodes / CAST(greatest(1, bn) AS DOUBLE)) AS u_nodes, 1 / (1 + bytes / CAST(greatest(1, bb) AS DOUBLE)) AS u_bytes,
+        1 / (1 + (colors - 1) / CAST(greatest(1, bc - 1) AS DOUBLE)) AS u_colors, greatest(0e0, least(1e0, 1 - dirt)) AS u_clean FROM cand JOIN base USING (run_id)),
+    scored AS (SELECT *, CASE WHEN empty THEN 0e0 ELSE exp((0.5e0 * ln(greatest(1e-4, u_fidelity)) + 0.2e0 * ln(greatest(1e-4, u_nodes)) + 0.2e0 * ln(greatest(1e-4, u_bytes)) + 0.1e0 * ln(greatest(1e-4, u_colors)) + 0.1e0 * ln(greatest(1e-4, u_clean))) / 1.1e0) END AS score FROM u),
+    guarded AS (SELECT *, NOT empty AND round(u_fidelity, 9) >= round(floor_ - 1e-9, 9) AS eligible FROM (SELECT *, greatest(0e0, coalesce(max(u_fidelity) FILTER (NOT empty) OVER (PARTITION BY run_id), 0e0) - 0.2e0) AS floor_ FROM scored))"""
 
 
 def _scored(spark, sf_dir):
+    """Candidates scored against the first of their run."""
     c = adapters.candidates(spark, sf_dir)
-    return search.utilities(c, c.groupBy("run_id").agg(*[F.min(x).alias(x) for x in ("nodes", "bytes", "colors")]))
+    first = c.groupBy("run_id").agg(F.min_by(F.struct("nodes", "bytes", "colors"), "id").alias("b")).select("run_id", "b.*")
+    return search.utilities(c, first)
+
+
+UTILITIES = ("u_fidelity", "u_nodes", "u_bytes", "u_colors", "u_clean")
 
 
-@query(f"WITH {CANDIDATES} SELECT run_id, id, round(u_fidelity, 6) + 0e0 AS u_fidelity, round(u_nodes, 6) + 0e0 AS u_nodes, round(u_bytes, 6) + 0e0 AS u_bytes, round(u_colors, 6) + 0e0 AS u_colors, round(score, 6) + 0e0 AS score FROM scored")
+@query(f"WITH {CANDIDATES} SELECT run_id, id, empty, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in (*UTILITIES, "score")) + " FROM scored")
 def utility_scores(spark, sf_dir):
-    return _scored(spark, sf_dir).select("run_id", "id", *[rnd(c).alias(c) for c in ("u_fidelity", "u_nodes", "u_bytes", "u_colors", "score")])
+    return _scored(spark, sf_dir).select("run_id", "id", "empty", *[rnd(c).alias(c) for c in (*UTILITIES, "score")])
 
 
-@query(f"WITH {CANDIDATES} SELECT run_id, id, round(f, 6) + 0e0 AS floor, round(u_fidelity, 9) >= round(f, 9) AS eligible FROM (SELECT *, greatest(0e0, max(u_fidelity) OVER (PARTITION BY run_id) - 0.2e0) AS f FROM scored)")
+@query(f"WITH {CANDIDATES} SELECT run_id, id, round(floor_, 6) + 0e0 AS floor, eligible FROM guarded")
 def fidelity_guard(spark, sf_dir):
     return search.fidelity_guard(_scored(spark, sf_dir)).select("run_id", "id", rnd("floor").alias("floor"), "eligible")
 
 
-@query(f"WITH {CANDIDATES} SELECT run_id, id FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.run_id = a.run_id AND b.u_fidelity >= a.u_fidelity AND b.u_bytes >= a.u_bytes AND (b.u_fidelity > a.u_fidelity OR b.u_bytes > a.u_bytes))")
+@query(f"""WITH {CANDIDATES}, pool AS (SELECT * FROM guarded WHERE eligible) SELECT run_id, id FROM pool a WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.run_id = a.run_id AND b.id <> a.id
+    AND b.u_fidelity >= a.u_fidelity - 1e-9 AND b.u_nodes >= a.u_nodes - 1e-9 AND b.u_colors >= a.u_colors - 1e-9 AND (b.u_fidelity > a.u_fidelity + 1e-9 OR b.u_nodes > a.u_nodes + 1e-9 OR b.u_colors > a.u_colors + 1e-9))""")
 def pareto_front(spark, sf_dir):
-    return search.pareto_front(_scored(spark, sf_dir)).select("run_id", "id")
+    return search.pareto_front(search.fidelity_guard(_scored(spark, sf_dir)))
 
 
 @query(f"WITH {CANDIDATES} SELECT run_id, id, round(max(score) OVER (PARTITION BY run_id ORDER BY id), 6) + 0e0 AS best FROM scored")
@@ -756,7 +772,7 @@ def latin_hypercube(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT d.lang AS family, d.doc_id, (n_chars % 1000) / 10000e0 AS a, (n_chars % 1000) / 10000e0 + ((d.doc_id % 11) - 5) * CASE WHEN quality = 1 THEN 0.002e0 ELSE 0.001e0 END AS b FROM documents d JOIN labels USING (doc_id)),
-    s AS (SELECT *, CASE WHEN round(abs(b - a), 9) < 0.0008e0 OR round(abs(b - a), 9) < round(0.02e0 * a, 9) THEN 0 WHEN b < a THEN 1 ELSE -1 END AS side FROM r)
+    s AS (SELECT *, CASE WHEN round(abs(b - a), 9) < 0.0005e0 OR round(abs(b - a), 9) < round(0.02e0 * a, 9) THEN 0 WHEN b < a THEN 1 ELSE -1 END AS side FROM r)
     SELECT family, count(*) AS n, round(avg(a), 6) + 0e0 AS de_a, round(avg(b), 6) + 0e0 AS de_b, count(*) FILTER (side = 1) AS wins, count(*) FILTER (side = -1) AS losses, CAST(grouping(family) AS INTEGER) AS total FROM s GROUP BY ROLLUP (family)""")
 def ab_verdict_rollup(spark, sf_dir):
     return search.verdict(adapters.reports(spark, sf_dir)).withColumns({"de_a": rnd("de_a"), "de_b": rnd("de_b")})

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vellumist.runtime import read_table
 
 SIDE = 8
+#: Warnings that the candidates bring, by turns.
+CODES = ("tiny-features", "stencil-islands", "node-count", "palette-clamped", "centerline-input", "empty-result", "other")
 
 
 def _byte(v):
@@ -55,13 +57,17 @@ def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search candidates: one a part, grouped into runs by brand, with error, size and node counts."""
+    """Search candidates: one a part, grouped into runs by brand, with error, size and node counts and warnings."""
+    codes = F.array(*[F.lit(c) for c in CODES])
+    warning = F.struct(F.element_at(codes, (F.col("p_partkey") % 7 + 1).cast("int")).alias("code"), F.when(F.col("p_partkey") % 2 == 0, "info").otherwise("warning").alias("severity"))
+    tiny = F.struct(F.lit("tiny-features").alias("code"), F.lit("warning").alias("severity"))
     p = read_table(spark, sf_dir, "part")
     return p.select(
         F.col("p_brand").alias("run_id"), F.col("p_partkey").alias("id"),
         (F.col("p_size") / 200.0).alias("mean_de"), ((F.col("p_partkey") % 97) / 200.0).alias("p95_de"),
         (F.col("p_partkey") % 613 + 10).cast("long").alias("nodes"), (F.col("p_partkey") % 41 + 1).cast("long").alias("paths"),
         F.floor(F.col("p_retailprice")).cast("long").alias("bytes"), (F.col("p_partkey") % 31 + 2).cast("int").alias("colors"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array(warning, tiny)).otherwise(F.array(warning)).alias("warnings"),
     )
 
 
