@@ -152,3 +152,21 @@ def test_job_feed_newest_request_wins(spark, tmp_path):
     stream.awaitTermination(120)
     got = {r.image_id: (r.request, r.ink) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (3, sum(map(sum, disk(8, 3)))), 2: (5, sum(map(sum, disk(8, 2))))}
+
+
+def test_components_of_wide_and_tall_images(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [[rng.random() < 0.55 for _ in range(30)] for _ in range(40)]
+    for diagonal in (False, True):
+        whole = {(r.x, r.y): r.comp for r in regions.connected_components(image(spark, rows), diagonal=diagonal).collect()}
+        monkeypatch.setattr(regions, "STRIP", 3)
+        strips = {(r.x, r.y): r.comp for r in regions.connected_components(image(spark, rows), diagonal=diagonal).collect()}
+        monkeypatch.undo()
+        assert whole == strips
+        for (x, y), c in whole.items():
+            near = [(x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (diagonal or not (dx and dy))]
+            assert all(whole[p] == c for p in near if p in whole and rows[p[1]][p[0]] == rows[y][x])
+    wide = spark.createDataFrame([(0, 4096, 0, 1), (0, 0, 1, 1), (0, 5000, 0, 1), (0, 5001, 0, 1)], "image_id long, x int, y int, m int")
+    assert len({r.comp for r in regions.connected_components(wide).collect()}) == 3

@@ -73,7 +73,7 @@ def nesting(mask: DataFrame) -> DataFrame:
     w = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     change = F.when(F.lag("m").over(grid.along_row()).eqNullSafe(F.col("m")), 0).otherwise(1)
     walked = grid.by_image(comps).withColumn("change", change).withColumn("crossed", F.sum("change").over(w))
-    first = walked.groupBy("image_id", "comp").agg(F.min_by(F.struct("m", "crossed"), F.col("y") * 4096 + F.col("x")).alias("f"))
+    first = walked.groupBy("image_id", "comp").agg(F.min_by(F.struct("m", "crossed"), regions.position()).alias("f"))
     return first.select("image_id", "comp", F.col("f.m").alias("label"), F.col("f.crossed").alias("crossings"))
 
 

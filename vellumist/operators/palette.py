@@ -98,8 +98,10 @@ def dominant_tones(gray: DataFrame, k: int = 6, bars: int = 16) -> DataFrame:
 
 
 def mixture_candidates(palette: DataFrame, tolerance: float = 12.0) -> DataFrame:
-    """image_id, label, a, b: colors within tolerance of the line between two more frequent ones. palette: image_id, label, r, g, b, n; at most MOST_COLORS an image."""
-    p = palette.filter(F.col("label") < MOST_COLORS)
+    """image_id, label, a, b: colors within tolerance of the line between two more frequent ones. palette: image_id, label, r, g, b, n; at most MOST_COLORS an image, else ValueError."""
+    if palette.filter(F.col("label") >= MOST_COLORS).limit(1).count():
+        raise ValueError(f"a palette has 1 to {MOST_COLORS} colors")
+    p = palette
     cols = ["label", "r", "g", "b", "n"]
     m, a, b = (p.select("image_id", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "mab")
     tri = m.join(a, "image_id").filter("a_n > m_n").join(b, "image_id").filter("b_n > m_n and a_label < b_label")

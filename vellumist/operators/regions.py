@@ -2,46 +2,124 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumist.operators import grid
 from vellumist.runtime import materialize
 
-POS = "pos"
-
-
-def position(width: int = 4096) -> Column:
-    return (F.col("y") * width + F.col("x")).cast("long")
+#: Positions are y * WIDE + x, so images may have as many columns.
+WIDE = 1 << 20
+#: Rows of an image that one task labels; regions of taller images are joined over the seams.
+STRIP = 2048
+#: Pixels that a task labels at once, or one strip.
+CHUNK = 1 << 18
+
+
+def position() -> Column:
+    return F.col("y").cast("long") * WIDE + F.col("x")
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index that links (a, b) reach from each of n: hook the larger root to the smaller, halve all paths, until no link is open."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _marks(group: np.ndarray, x: np.ndarray, y: np.ndarray, label: np.ndarray, diagonal: bool) -> np.ndarray:
+    """Marks of pixels sorted by group, y and x."""
+    at = y * WIDE + x
+    key = group * (1 << 40) + at
+    ends = []
+    for step in (0, 1, WIDE, *((WIDE - 1, WIDE + 1) if diagonal else ())):
+        j = np.searchsorted(key, key + step) if step else np.arange(1, len(key) + 1)
+        i = np.flatnonzero(j < len(key))
+        i = i[(key[j[i]] == key[i] + step) & (label[j[i]] == label[i]) & (label[i] >= 0)]
+        ends.append((i, j[i]))
+    root = _roots(np.concatenate([i for i, _ in ends]), np.concatenate([j for _, j in ends]), len(key))
+    return np.where(label < 0, -1, at[root])
+
+
+def _label_strips(columns: list[str], label: str, diagonal: bool):
+    """mapInArrow function: rows sorted by image, strip, y and x get their marks, whole strips at a time."""
+    place = {c: columns.index(c) for c in ("image_id", "x", "y", label)}
+
+    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return pc.fill_null(batch.column(place[name]).cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+
+    def groups(batch: pa.RecordBatch) -> np.ndarray:
+        image, strip = numbers(batch, "image_id"), numbers(batch, "y") // STRIP
+        return np.cumsum(np.append(0, (image[1:] != image[:-1]) | (strip[1:] != strip[:-1])))
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        comp = _marks(groups(batch), numbers(batch, "x"), numbers(batch, "y"), numbers(batch, label), diagonal)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(comp, pa.int64())], names=[*columns, "comp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, enough = 0, CHUNK
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= enough:
+                whole = pa.concat_batches(held)
+                of = groups(whole)
+                cut = int(np.searchsorted(of, of[-1]))  # the last strip may go on
+                if cut:
+                    yield marked(whole.slice(0, cut))
+                held, rows = [whole.slice(cut)], whole.num_rows - cut
+                enough = max(CHUNK, 2 * rows)
+        if rows:
+            yield marked(pa.concat_batches(held))
+
+    return run
+
+
+def _over_seams(marked: DataFrame, label: str, diagonal: bool) -> DataFrame:
+    """marked with the regions that touch over a seam between strips under one mark."""
+    at = F.col("y") % STRIP
+    above = marked.filter((at == STRIP - 1) & (F.col(label) >= 0)).select("image_id", F.col("comp").alias("a"), F.col(label).alias("__l"), (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in ((-1, 0, 1) if diagonal else (0,))])).alias("x"))
+    below = marked.filter((at == 0) & (F.col("y") > 0) & (F.col(label) >= 0)).select("image_id", F.col("comp").alias("b"), F.col(label).alias("__l"), "y", "x")
+    edges = above.join(below, ["image_id", "__l", "y", "x"]).select("image_id", "a", "b").distinct()
+    both = materialize(edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))), "seams")
+    names = materialize(both.groupBy("image_id", "a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "seams")
+    while True:
+        near = both.join(names.select("image_id", F.col("a").alias("b"), "to"), ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("to").alias("near"))
+        hop = names.join(near, ["image_id", "a"]).select("image_id", "a", F.col("to").alias("old"), F.least("to", "near").alias("mid"))
+        new = hop.join(names.select("image_id", F.col("a").alias("mid"), F.col("to").alias("far")), ["image_id", "mid"])
+        new = materialize(new.select("image_id", "a", "old", F.least("mid", "far").alias("to")), "seams")
+        names = new.select("image_id", "a", "to")
+        if not new.filter("old != to").limit(1).count():
+            break
+    named = marked.join(names.withColumnRenamed("a", "comp"), ["image_id", "comp"], "left").withColumn("comp", F.coalesce("to", "comp"))
+    return materialize(named.select(*marked.columns), "regions")
 
 
 def connected_components(labels: DataFrame, label: str = "m", diagonal: bool = False) -> DataFrame:
-    """labels with comp: the smallest position (y * 4096 + x) of the pixel's region; -1 labels belong to none (comp -1).
+    """labels with comp: the smallest position (y * WIDE + x) of the pixel's region; -1 labels belong to none (comp -1).
 
-    Runs of equal labels in rows and columns take their least mark by windows, so marks cross a straight run in one round and the number of
-    rounds follows the bends of a region rather than its size. Each round is written to the shared folder; it stops when no mark moves.
+    One pass: strips of ``STRIP`` rows are labeled where they are, by union-find over arrays; only images that are taller have regions to join over
+    seams, by rounds over the pairs that touch there, as many as a chain of strips halves. A strip of 2048 x 8192 pixels takes about a gigabyte.
     """
-    df = grid.by_image(labels.withColumn("comp", F.when(F.col(label) < 0, F.lit(-1)).otherwise(position()).cast("long")))
     columns = labels.columns
-
-    def runs(axis, order):
-        w = Window.partitionBy(*axis).orderBy(order)
-        return F.sum(F.when(F.lag(label).over(w).eqNullSafe(F.col(label)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-    df = df.withColumns({"hr": runs(grid.ROW, "x"), "vr": runs(grid.COL, "y")})
-    df = materialize(df, "regions")
-    while True:
-        new = grid.by_image(df).withColumn("old", F.col("comp"))
-        for _ in range(3):
-            new = new.withColumn("comp", F.min("comp").over(Window.partitionBy("image_id", "y", "hr"))).withColumn("comp", F.min("comp").over(Window.partitionBy("image_id", "x", "vr")))
-        if diagonal:
-            new = grid.with_eight(grid.with_eight(new, label, "l"), "comp", "c")
-            near = [F.when(F.col(f"l{i}") == F.col(label), F.col(f"c{i}")) for i in (0, 2, 5, 7)]
-            new = new.withColumn("comp", F.least("comp", *near)).select(*columns, "comp", "hr", "vr", "old")
-        new = materialize(new, "regions")
-        df = new.drop("old")
-        if not new.filter("comp != old").limit(1).count():
-            return df.select(*columns, "comp")
+    dealt = labels.withColumn("__strip", F.expr(f"int(y div {STRIP})"))
+    dealt = dealt.repartition("image_id", "__strip").sortWithinPartitions("image_id", "__strip", "y", "x").select(*columns)
+    marked = materialize(dealt.mapInArrow(_label_strips(columns, label, diagonal), T.StructType([*labels.schema.fields, T.StructField("comp", T.LongType())])), "regions")
+    return _over_seams(marked, label, diagonal) if marked.filter(F.col("y") >= STRIP).limit(1).count() else marked
 
 
 def component_shape(components: DataFrame, label: str = "m") -> DataFrame:

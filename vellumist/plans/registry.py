@@ -43,11 +43,11 @@ SIDES = "WINDOW h AS (PARTITION BY image_id, y ORDER BY x), v AS (PARTITION BY i
 
 def components_sql(name: str = "comps", diagonal: bool = False) -> str:
     near = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)" if diagonal else "abs(a.x - b.x) + abs(a.y - b.y) = 1"
-    return f"""{name}_edges AS (SELECT a.image_id, a.y * 4096 + a.x AS p, b.y * 4096 + b.x AS q FROM mask a JOIN mask b ON a.image_id = b.image_id AND a.m = b.m AND {near}),
-    {name}_reach AS (SELECT image_id, y * 4096 + x AS p, y * 4096 + x AS root FROM mask
+    return f"""{name}_edges AS (SELECT a.image_id, a.y * 1048576 + a.x AS p, b.y * 1048576 + b.x AS q FROM mask a JOIN mask b ON a.image_id = b.image_id AND a.m = b.m AND {near}),
+    {name}_reach AS (SELECT image_id, y * 1048576 + x AS p, y * 1048576 + x AS root FROM mask
         UNION SELECT e.image_id, e.q, r.root FROM {name}_reach r JOIN {name}_edges e ON e.image_id = r.image_id AND e.p = r.p),
     {name} AS (SELECT m.image_id, m.x, m.y, m.m, CAST(t.comp AS BIGINT) AS comp FROM mask m
-        JOIN (SELECT image_id, p, min(root) AS comp FROM {name}_reach GROUP BY ALL) t ON t.image_id = m.image_id AND t.p = m.y * 4096 + m.x)"""
+        JOIN (SELECT image_id, p, min(root) AS comp FROM {name}_reach GROUP BY ALL) t ON t.image_id = m.image_id AND t.p = m.y * 1048576 + m.x)"""
 
 
 SHAPE = """shape AS (SELECT image_id, comp, min(m) AS label, count(*) AS area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
@@ -597,7 +597,7 @@ def node_degree(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {MASK}, {components_sql()}, w AS (SELECT *, sum(CASE WHEN m IS NOT DISTINCT FROM o THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, y ORDER BY x) AS crossed FROM (SELECT *, lag(m) OVER (PARTITION BY image_id, y ORDER BY x) AS o FROM comps))
-    SELECT image_id, comp, m AS label, CAST(crossed AS BIGINT) AS crossings FROM w WHERE y * 4096 + x = comp""")
+    SELECT image_id, comp, m AS label, CAST(crossed AS BIGINT) AS crossings FROM w WHERE y * 1048576 + x = comp""")
 def face_nesting(spark, sf_dir):
     return layers.nesting(mask_of(spark, sf_dir))
 
