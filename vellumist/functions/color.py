@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published sRGB, Oklab and CIE Lab (D65) constants.
@@ -43,9 +43,26 @@ def lightness(gray: Column) -> Column:
     return oklab(gray, gray, gray)[0]
 
 
+def light_of_oklab(L: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Linear light of an Oklab color; not clamped."""
+    return _rows(RGB_BACK, *(F.pow(c, F.lit(3.0)) for c in _rows(LMS_BACK, L, a, b)))
+
+
 def oklab_to_rgb(L: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
-    cubes = [c * c * c for c in _rows(LMS_BACK, L, a, b)]
-    return tuple(byte(encoded(c)) for c in _rows(RGB_BACK, *cubes))
+    return tuple(byte(encoded(c)) for c in light_of_oklab(L, a, b))
+
+
+def with_oklab(df: DataFrame, to: str = "LMN") -> DataFrame:
+    """df (r, g, b) with the three Oklab columns, L, M (green to red) and N (blue to yellow); linear light and cone responses are columns of their own on the way, so that no expression is repeated."""
+    steps = df.withColumns({f"__{c}": linear(F.col(c)) for c in "rgb"})
+    steps = steps.withColumns({f"__c{i}": F.cbrt(c) for i, c in enumerate(_rows(LMS, *(F.col(f"__{c}") for c in "rgb")))})
+    return steps.withColumns(dict(zip(to, _rows(OKLAB, *(F.col(f"__c{i}") for i in range(3)))))).drop("__r", "__g", "__b", "__c0", "__c1", "__c2")
+
+
+def with_rgb(df: DataFrame, lab: str = "LMN", to: tuple = ("r", "g", "b")) -> DataFrame:
+    """df with bytes of its three Oklab columns, step by step as in with_oklab."""
+    light = df.withColumns({f"__{i}": c for i, c in enumerate(light_of_oklab(*(F.col(c) for c in lab)))})
+    return light.withColumns({n: byte(encoded(F.col(f"__{i}"))) for i, n in enumerate(to)}).drop("__0", "__1", "__2")
 
 
 def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -168,3 +168,55 @@ def row_runs(mask: DataFrame, value: str = "m") -> DataFrame:
 def luminance_histogram(gray: DataFrame, bars: int = 16) -> DataFrame:
     """image_id, bar, n."""
     return gray.groupBy("image_id", F.expr(f"int(g * {bars} div 256)").alias("bar")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def signed_adaptive_field(gray: DataFrame, radius: int = 2, bias: float = 0.05, invert: bool = False) -> DataFrame:
+    """image_id, x, y, f: how far a value in [0, 1] lies below its window's mean less the bias, scaled so that both ends are half a unit away; windows are cut at the image."""
+    row, column = grid.box("g", max(1, radius))
+    sums = grid.by_image(gray).withColumns({"s": row(F.col("g")), "c": row(F.lit(1))}).withColumns({"s": column(F.col("s")), "c": column(F.col("c"))})
+    t = F.col("s") / F.col("c") / 255.0 - bias
+    d = t - F.col("g") / 255.0
+    f = d * F.when(d > 0, 0.5 / F.greatest(t, F.lit(1e-6))).otherwise(0.5 / F.greatest(1 - t, F.lit(1e-6)))
+    return sums.select("image_id", "x", "y", (-f if invert else f).alias("f"))
+
+
+def pad(pixels: DataFrame, margin: int) -> DataFrame:
+    """RGBA images with a clear frame of so many pixels about them."""
+    box = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    x, y = (F.explode(F.sequence(F.lit(0), F.col(c) + 2 * margin)) for c in ("mx", "my"))
+    whole = box.withColumn("x", x).withColumn("y", y).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "mx", "my")
+    frame = whole.filter((F.col("x") < margin) | (F.col("y") < margin) | (F.col("x") > F.col("mx") + margin) | (F.col("y") > F.col("my") + margin))
+    inner = pixels.select("image_id", (F.col("x") + margin).cast("int").alias("x"), (F.col("y") + margin).cast("int").alias("y"), *"rgba")
+    return inner.unionByName(frame.select("image_id", "x", "y", *[F.lit(0).alias(c) for c in "rgba"]))
+
+
+def _cubic_weights(u: float) -> tuple[float, ...]:
+    """Weights of four neighbors for a point at u between the inner two (Catmull and Rom)."""
+    return 0.5 * u * (u * (2 - u) - 1), 0.5 * (u * u * (3 * u - 5) + 2), 0.5 * u * (u * (4 - 3 * u) + 1), 0.5 * u * u * (u - 1)
+
+
+def upscale(pixels: DataFrame, factor: int, channels: tuple[str, ...], bounded: bool = True) -> DataFrame:
+    """image_id, x, y and the channels of images enlarged by a whole factor: cubic weights along rows, then columns, edges repeated; bounded keeps each value between its two inner taps."""
+    df = grid.by_image(pixels)
+    for axis, other, window in (("x", "y", grid.along_row()), ("y", "x", grid.along_column())):
+        whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+        def tap(c: str, step: int, w=window, every=whole) -> Column:
+            if step == 0:
+                return F.col(c)
+            return F.coalesce(F.lag(c, -step).over(w), F.first(c).over(every)) if step < 0 else F.coalesce(F.lead(c, step).over(w), F.last(c).over(every))
+
+        df = df.withColumns({f"{c}_{i}": tap(c, i - 2) for c in channels for i in range(5)})
+        phases = []
+        for r in range(factor):
+            at = (r + 0.5) / factor - 0.5
+            first = int(at // 1)
+            values = []
+            for c in channels:
+                taps = [F.col(f"{c}_{first + 1 + i}") for i in range(4)]
+                v = sum((w * t for w, t in zip(_cubic_weights(at - first)[1:], taps[1:])), _cubic_weights(at - first)[0] * taps[0])
+                v = F.greatest(F.least(taps[1], taps[2]), F.least(F.greatest(taps[1], taps[2]), v)) if bounded else v
+                values.append(v.alias(c))
+            phases.append(F.struct((F.col(axis) * factor + r).cast("int").alias(axis), *values))
+        df = df.select("image_id", other, F.explode(F.array(*phases)).alias("p")).select("image_id", other, "p.*")
+    return df.select("image_id", "x", "y", *channels)

@@ -125,9 +125,8 @@ def _back_sql(l_: str, a_: str, b_: str) -> list[str]:
 @query(f"WITH {RGB}, o AS (SELECT DISTINCT r, g, b, " + ", ".join(f"1.1e0 * {c} AS {n}" for c, n in zip(oklab_sql("r", "g", "b"), ("l_", "a_", "b_"))) + " FROM rgb) SELECT r, g, b, " + ", ".join(f"{c} AS {n}" for c, n in zip(_back_sql("l_", "a_", "b_"), ("r2", "g2", "b2"))) + " FROM o")
 def oklab_roundtrip(spark, sf_dir):
     """To Oklab, a tenth lighter and more colorful, and back with clamping."""
-    c = [F.col(x) for x in "rgb"]
-    back = color.oklab_to_rgb(*[1.1 * x for x in color.oklab(*c)])
-    return px_rgb(spark, sf_dir).select("r", "g", "b").distinct().select(*c, *[x.alias(n) for x, n in zip(back, ("r2", "g2", "b2"))])
+    lab_ = color.with_oklab(px_rgb(spark, sf_dir).select("r", "g", "b").distinct(), "LMN").withColumns({c: 1.1 * F.col(c) for c in "LMN"})
+    return color.with_rgb(lab_, "LMN", ("r2", "g2", "b2")).drop(*"LMN")
 
 
 def lab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
@@ -853,3 +852,6 @@ def color_pipeline(spark, sf_dir):
     from vellumist.plans import pipelines
 
     return pipelines.color_layers(px_rgb(spark, sf_dir), PALETTE, 8, 8)
+
+
+from vellumist.plans import shapes  # noqa: E402, F401  registers its queries; it takes the building blocks above
