@@ -1,4 +1,4 @@
-"""Bounded slices of Arrow batches, and memory handed back between tasks."""
+"""Bounded Arrow batches and slices of them, and memory handed back between tasks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+#: Bytes of an Arrow batch of whole texts; it stands several times in the JVM and in Python, for each core.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of an Arrow batch to BATCH_BYTES; the default is 64 MB. A smaller bound stays. Only sizes of batches change by it, never rows."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING, "64m"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:

@@ -27,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vellumist.llm.batches import bound_batches, hand_back, slices
+
 LONG_PIECE = 192
-SLICE_CHARS = 4_000_000
-DECODE_ROWS = 2_000_000
-MOST_UNITS = 1_300_000
+SLICE_CHARS = 1_000_000
+DECODE_ROWS = 300_000
+#: Pieces of one recursion.
+ENCODE_PIECES = 10_000
+MOST_UNITS = 400_000
 #: The vocabulary goes to every executor, so its file has a limit.
 MOST_VOCAB_BYTES = 64 << 20
 
@@ -87,18 +91,17 @@ class Codec:
         self.pair = {(a, b): r for a, b, r in merges}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '700MB'")
+        self.db.execute("SET threads = 1; SET memory_limit = '500MB'; SET temp_directory = ''")
         a, b, r = zip(*merges)
         self.db.register("merges_in", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "r": pa.array(r, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]}))
-        self.said_ids = {r: f"{r} " for r in ranks.values()}
+        self.decimal = {r: str(r) for r in ranks.values()}
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.forget()
 
     def forget(self) -> None:
         self.units: dict[str, int] = {}
-        self.said: list[str] = []  # decimal ids of each unit, each followed by a space
         self.flat = np.empty(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
@@ -141,24 +144,21 @@ class Codec:
         short = [i for i, (p, r) in enumerate(zip(raw, whole)) if r < 0 and len(p) <= LONG_PIECE]
         long = [i for i, (p, r) in enumerate(zip(raw, whole)) if r < 0 and len(p) > LONG_PIECE]
         parts = [(np.array(whole, np.int32)[(w := np.array(whole)) >= 0], np.ones(int((w >= 0).sum()), np.int64))]
-        parts += [self.recursive([raw[i] for i in short[at : at + 60_000]]) for at in range(0, len(short), 60_000)]
+        parts += [self.recursive([raw[i] for i in short[at : at + ENCODE_PIECES]]) for at in range(0, len(short), ENCODE_PIECES)]
         parts += [(np.array(ids, np.int32), np.array([len(ids)])) for ids in (self.heap(raw[i]) for i in long)]
         # Pieces stand in that order in flat; place has where each begins.
         flat, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
         order = np.concatenate([np.flatnonzero(w >= 0), np.array(short + long, np.int64)]).astype(np.int64)
         size, place = np.empty(len(raw), np.int64), np.empty(len(raw), np.int64)
         size[order], place[order] = sizes, np.cumsum(sizes) - sizes
-        decimal = list(map(self.said_ids.__getitem__, flat.tolist()))
-        said = [decimal[a] if n == 1 else "".join(decimal[a : a + n]) for a, n in zip(place.tolist(), size.tolist())]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         own = np.fromiter((number[p] for found in cut for p in found), np.int64, int(counts.sum()))
         each = size[own]
         ends = np.cumsum(each)
         self.flat = np.concatenate([self.flat, flat[np.arange(ends[-1]) + np.repeat(place[own] - ends + each, each)]])
         self.at = np.concatenate([self.at, self.at[-1] + ends[np.cumsum(counts) - 1]])
-        first = len(self.said)
+        first = len(self.units)
         self.units.update(zip(units, range(first, first + len(units))))
-        self.said += [said[number[found[0]]] if len(found) == 1 else "".join([said[number[p]] for p in found]) for found in cut]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Flat ids, the number of each text, and each text's decimal ids joined by one space."""
@@ -170,13 +170,13 @@ class Codec:
         if new:
             self.learn(new)
         index = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in cut]
-        said = self.said
-        joined = ["".join([said[i] for i in x.tolist()])[:-1] for x in index]
         every = np.concatenate(index) if index else np.empty(0, np.int64)
         sizes = self.at[every + 1] - self.at[every]
         ends = np.cumsum(sizes)
         flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[every] - (ends - sizes), sizes)]
         texts_end = np.concatenate([[0], ends])[np.cumsum([len(x) for x in index])] if index else np.empty(0, np.int64)
+        decimal = self.decimal.__getitem__
+        joined = [" ".join(map(decimal, flat[a:b].tolist())) for a, b in zip([0, *texts_end], texts_end)]
         return flat, np.diff(texts_end, prepend=0), joined
 
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -206,22 +206,9 @@ def codec(ranks: dict[bytes, int], pattern: str, name: bytes) -> Codec:
     return _codecs[name]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of bounded text."""
-    for batch in batches:
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_CHARS, "right"))
-            upto = max(at + 1, upto)
-            yield batch.slice(at, upto - at)
-            at = upto
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that decoding the ids gives), and the ids if asked for."""
-    import pyarrow.compute  # noqa: F401  for the workers' closure
-
+    bound_batches(docs.sparkSession)
     ranks = read_ranks(path)
     name = hashlib.sha256(repr((sorted(ranks.values())[-1], len(ranks), path, pattern)).encode()).digest()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -230,16 +217,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         own = codec(sent.value, pattern, name)
-        for part in slices(batches):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            flat, counts, joined = own.encode(texts)
-            decoded = own.decode(flat, counts)
-            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        for batch in batches:
+            for part in slices(batch, 1, SLICE_CHARS, batch.num_rows):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                flat, counts, joined = own.encode(texts)
+                decoded = own.decode(flat, counts)
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            hand_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumist.llm.batches import hand_back
+from vellumist.llm.batches import bound_batches, hand_back
 from vellumist.llm.components import components
 from vellumist.runtime import materialize
 
@@ -288,6 +288,7 @@ def order_block(percent: int):
 
 def sets(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """SETS of every row: size, digests, and the shared shingles, rare first, where the prefix holds any."""
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, ceil(size / 7 / BUCKET_TOKENS))

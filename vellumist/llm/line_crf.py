@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumist.llm.batches import hand_back, slices
+from vellumist.llm.batches import bound_batches, hand_back, slices
 from vellumist.runtime import materialize
 
 SAMPLE = 6000
@@ -226,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
 
 def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with a score and a prediction. Columns of their two names are replaced."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (score_col, predicted_col)]
     place = keep.index(text_col)
     fields = [docs.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]
