@@ -1,4 +1,4 @@
-"""Bounded Arrow batches and slices of them, and memory handed back between tasks."""
+"""Bounded Arrow batches and slices of them, state kept from task to task, and memory handed back between tasks."""
 
 from __future__ import annotations
 
@@ -33,6 +33,19 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int)
         at = upto
 
 
+_kept: dict[str, dict] = {}
+
+
+def keep(operator: str | None = None) -> dict:
+    """What an operator keeps in this worker process from task to task. What others kept is let go: workers are reused, and would hold the state of every operator of the session."""
+    others = [name for name in _kept if name != operator]
+    for name in others:
+        del _kept[name]
+    if others:
+        hand_back()
+    return _kept.setdefault(operator, {}) if operator else {}
+
+
 def hand_back() -> None:
     """Give freed memory back to the system: a worker waits for its next task with what it holds, beside those of other stages."""
     pa.default_memory_pool().release_unused()

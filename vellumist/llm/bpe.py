@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellumist.llm.batches import bound_batches, hand_back, slices
+from vellumist.llm.batches import bound_batches, hand_back, keep, slices
 
 LONG_PIECE = 192
 SLICE_CHARS = 1_000_000
@@ -196,14 +196,12 @@ class Codec:
         return out
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(ranks: dict[bytes, int], pattern: str, name: bytes) -> Codec:
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(ranks, pattern)
-    return _codecs[name]
+    kept = keep("bpe")
+    if name not in kept:
+        kept.clear()
+        kept[name] = Codec(ranks, pattern)
+    return kept[name]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumist.llm.batches import bound_batches, hand_back
+from vellumist.llm.batches import bound_batches, hand_back, keep
 from vellumist.llm.components import components
 from vellumist.runtime import materialize
 
@@ -213,6 +213,7 @@ def deal(buckets: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep()
         blk = TaskContext.get().partitionId() << 32
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -229,6 +230,7 @@ def deal(buckets: int, k: int):
 
 def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """Counts the hashes of a bucket over all blocks; answers each block with those that occur more than once (ANSWER)."""
+    keep()
     heads, runs = rows[rows["kind"] == 1], rows[rows["kind"] == 0]
     out = [(b, 1, p) for b, p in zip(heads["blk"], heads["payload"])]
     parts = [unpack(p) for p in runs["payload"]]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumist.llm.batches import bound_batches, hand_back, slices
+from vellumist.llm.batches import bound_batches, hand_back, keep, slices
 from vellumist.runtime import materialize
 
 SAMPLE = 6000
@@ -213,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     rows = rows.join(F.broadcast(within), id_col, "left_semi").select("text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, w = text_features(text)
@@ -232,6 +233,7 @@ def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: floa
     fields = [docs.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep()
         for batch in batches:
             scores = np.concatenate([np.empty(0), *(score(crf, part.column(place).to_pylist()) for part in slices(batch, place, SLICE_BYTES, SLICE))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[f.name for f in fields])
