@@ -228,9 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
 def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with a score and a prediction. Columns of their two names are replaced."""
     bound_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (score_col, predicted_col)]
-    place = keep.index(text_col)
-    fields = [docs.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]
+    kept = [c for c in docs.columns if c not in (score_col, predicted_col)]
+    place = kept.index(text_col)
+    fields = [docs.schema[c] for c in kept] + [T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep()
@@ -239,4 +239,4 @@ def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: floa
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[f.name for f in fields])
         hand_back()
 
-    return docs.select(*keep).mapInArrow(run, T.StructType(fields))
+    return docs.select(*kept).mapInArrow(run, T.StructType(fields))
