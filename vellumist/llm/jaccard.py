@@ -248,9 +248,9 @@ def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             start += len(token)
             many, hot = d > 1, count >= LOCAL_HOT
             cold = np.repeat(many[~hot], count[~hot])
-            keep = many & ~hot
+            left = many & ~hot
             if many.any():
-                out.append((blk, 0, pack(token[keep], narrow(d[keep]), narrow(count[keep]), narrow(own[cold]), token[hot], narrow(d[hot]))))
+                out.append((blk, 0, pack(token[left], narrow(d[left]), narrow(count[left]), narrow(own[cold]), token[hot], narrow(d[hot]))))
     hand_back()
     return pd.DataFrame(out, columns=["blk", "kind", "payload"])
 
