@@ -8,7 +8,8 @@ reference encoding. Decoding joins the ids of whole texts with the vocabulary an
 
 A round contracts one pair, so the recursion is quadratic in a piece's length: pieces over ``LONG_PIECE`` bytes (unbroken
 runs of thousands of letters or signs) take the same contraction over a heap of neighbouring pairs, with the same ids.
-State is bounded: known pieces are forgotten beyond ``MOST_UNITS``; slices hold ``SLICE_CHARS`` of text, or one text.
+State is bounded: beyond ``MOST_UNITS`` known units or ``MOST_IDS`` of their ids, all are forgotten but the short ones used most, at most half; slices hold
+``SLICE_CHARS`` of text, or one text. What is known changes only the work, never an id.
 
 Defined cases: a null or empty text has no tokens; repeated rows are encoded each; other columns are ignored; an empty table gives
 an empty result. Special tokens are never recognised: their strings are ordinary text.
@@ -21,6 +22,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ from pyspark.sql import types as T
 from vellumist.llm.batches import bound_batches, hand_back, keep, slices
 
 LONG_PIECE = 192
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_500_000
 DECODE_ROWS = 300_000
 #: Pieces of one recursion.
-ENCODE_PIECES = 10_000
-MOST_UNITS = 400_000
+ENCODE_PIECES = 20_000
+MOST_UNITS, MOST_IDS = 600_000, 8_000_000
+#: Ids of a unit that is short.
+SHORT_UNIT = 64
 #: The vocabulary goes to every executor, so its file has a limit.
 MOST_VOCAB_BYTES = 64 << 20
 
@@ -98,12 +102,18 @@ class Codec:
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]}))
         self.decimal = {r: str(r) for r in ranks.values()}
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
-        self.forget()
+        self.units: dict[str, int] = {}  # each unit's place in at and uses
+        self.flat, self.uses = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.at = np.zeros(1, np.int64)
 
     def forget(self) -> None:
-        self.units: dict[str, int] = {}
-        self.flat = np.empty(0, np.int32)
-        self.at = np.zeros(1, np.int64)
+        """Keep the short units that were used most since they were learned, older uses counting half, and half of MOST_UNITS at most."""
+        sizes, most = np.diff(self.at), MOST_UNITS // 2
+        uses = np.where(sizes <= SHORT_UNIT, self.uses, 0)
+        kept = uses > max(1, np.partition(uses, -most)[-most] if len(uses) > most else 1)
+        self.units = {u: i for i, u in enumerate(compress(self.units, kept))}
+        self.flat, self.uses = self.flat[np.repeat(kept, sizes)], self.uses[kept] // 2
+        self.at = np.concatenate([[0], np.cumsum(sizes[kept])])
 
     def recursive(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces end to end, and how many each has."""
@@ -159,10 +169,11 @@ class Codec:
         self.at = np.concatenate([self.at, self.at[-1] + ends[np.cumsum(counts) - 1]])
         first = len(self.units)
         self.units.update(zip(units, range(first, first + len(units))))
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Flat ids, the number of each text, and each text's decimal ids joined by one space."""
-        if len(self.units) > MOST_UNITS:
+        if len(self.units) > MOST_UNITS or len(self.flat) > MOST_IDS:
             self.forget()
         cut = [UNIT.findall(t) for t in texts]
         known = self.units
@@ -171,6 +182,7 @@ class Codec:
             self.learn(new)
         index = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in cut]
         every = np.concatenate(index) if index else np.empty(0, np.int64)
+        self.uses += np.bincount(every, minlength=len(self.uses))
         sizes = self.at[every + 1] - self.at[every]
         ends = np.cumsum(sizes)
         flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[every] - (ends - sizes), sizes)]
