@@ -48,3 +48,16 @@ def test_heap_equals_recursion_and_state_is_bounded(reference, monkeypatch):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_forgetting_keeps_short_units_used_often(reference, monkeypatch):
+    own = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    monkeypatch.setattr(bpe, "MOST_UNITS", 4)
+    long = "qzx" * 400
+    own.encode(["common " * 9 + "usual " * 5 + "rare once", long, long, long])
+    own.forget()
+    assert list(own.units) == [" common", " usual"]
+    text = " usual rare common " + long
+    flat, _, said = own.encode([text])
+    assert flat.tolist() == reference.encode_ordinary(text)
+    assert said.to_pylist() == [" ".join(map(str, flat.tolist()))]

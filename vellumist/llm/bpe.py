@@ -22,10 +22,11 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -100,7 +101,6 @@ class Codec:
         self.db.register("merges_in", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "r": pa.array(r, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]}))
-        self.decimal = {r: str(r) for r in ranks.values()}
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.units: dict[str, int] = {}  # each unit's place in at and uses
         self.flat, self.uses = np.empty(0, np.int32), np.empty(0, np.int64)
@@ -171,25 +171,27 @@ class Codec:
         self.units.update(zip(units, range(first, first + len(units))))
         self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
         """Flat ids, the number of each text, and each text's decimal ids joined by one space."""
         if len(self.units) > MOST_UNITS or len(self.flat) > MOST_IDS:
             self.forget()
         cut = [UNIT.findall(t) for t in texts]
         known = self.units
-        new = list(dict.fromkeys(u for c in cut for u in c if u not in known))
-        if new:
-            self.learn(new)
-        index = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in cut]
-        every = np.concatenate(index) if index else np.empty(0, np.int64)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        every = np.fromiter(map(known.get, chain.from_iterable(cut), repeat(-1)), np.int64, int(counts.sum()))
+        missing = every < 0
+        missed = list(compress(chain.from_iterable(cut), missing.tolist()))
+        del cut
+        if missed:
+            self.learn(list(dict.fromkeys(missed)))
+            every[missing] = np.fromiter(map(known.__getitem__, missed), np.int64, len(missed))
         self.uses += np.bincount(every, minlength=len(self.uses))
         sizes = self.at[every + 1] - self.at[every]
         ends = np.cumsum(sizes)
         flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[every] - (ends - sizes), sizes)]
-        texts_end = np.concatenate([[0], ends])[np.cumsum([len(x) for x in index])] if index else np.empty(0, np.int64)
-        decimal = self.decimal.__getitem__
-        joined = [" ".join(map(decimal, flat[a:b].tolist())) for a, b in zip([0, *texts_end], texts_end)]
-        return flat, np.diff(texts_end, prepend=0), joined
+        text_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        said = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(text_ends), pa.array(flat).cast(pa.large_string())), pa.scalar(" ", pa.large_string()))
+        return flat, np.diff(text_ends), said
 
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids. A long text is decoded in several runs of the query."""
@@ -233,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 flat, counts, joined = own.encode(texts)
                 decoded = own.decode(flat, counts)
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in joined]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
