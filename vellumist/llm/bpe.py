@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 from vellumist.llm.batches import bound_batches, hand_back, keep, slices
 
 LONG_PIECE = 192
-SLICE_CHARS = 2_500_000
+SLICE_CHARS = 1_000_000
 DECODE_ROWS = 300_000
 #: Pieces of one recursion.
-ENCODE_PIECES = 20_000
-MOST_UNITS, MOST_IDS = 600_000, 8_000_000
+ENCODE_PIECES = 10_000
+MOST_UNITS, MOST_IDS = 400_000, 4_000_000
 #: Ids of a unit that is short.
 SHORT_UNIT = 64
 #: The vocabulary goes to every executor, so its file has a limit.
@@ -92,13 +92,12 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        merges = [(a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
-        self.pair = {(a, b): r for a, b, r in merges}
+        self.token = {r: token for token, r in ranks.items()}
+        merges = np.array([(a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None], np.int32)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '500MB'; SET temp_directory = ''")
-        a, b, r = zip(*merges)
-        self.db.register("merges_in", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "r": pa.array(r, pa.int32())}))
+        self.db.register("merges_in", pa.table({name: pa.array(merges[:, i]) for i, name in enumerate("abr")}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
@@ -110,7 +109,7 @@ class Codec:
         """Keep the short units that were used most since they were learned, older uses counting half, and half of MOST_UNITS at most."""
         sizes, most = np.diff(self.at), MOST_UNITS // 2
         uses = np.where(sizes <= SHORT_UNIT, self.uses, 0)
-        kept = uses > max(1, np.partition(uses, -most)[-most] if len(uses) > most else 1)
+        kept = uses > max(1, np.partition(uses, -most - 1)[-most - 1] if len(uses) > most else 1)
         self.units = {u: i for i, u in enumerate(compress(self.units, kept))}
         self.flat, self.uses = self.flat[np.repeat(kept, sizes)], self.uses[kept] // 2
         self.at = np.concatenate([[0], np.cumsum(sizes[kept])])
@@ -124,11 +123,15 @@ class Codec:
         self.db.unregister("bytes_in")
         return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
 
+    def rank(self, a: int, b: int) -> int | None:
+        """The rank of two tokens' concatenation."""
+        return self.ranks.get(self.token[a] + self.token[b])
+
     def heap(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece, in n log n."""
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.pair.get((a, b))) is not None]
+        queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.rank(a, b)) is not None]
         heapq.heapify(queue)
         while queue:
             r, i, a, b = heapq.heappop(queue)
@@ -139,9 +142,9 @@ class Codec:
             after[i] = k
             if k < len(ids):
                 before[k] = i
-                if (n := self.pair.get((r, ids[k]))) is not None:
+                if (n := self.rank(r, ids[k])) is not None:
                     heapq.heappush(queue, (n, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (n := self.pair.get((ids[h], r))) is not None:
+            if (h := before[i]) >= 0 and (n := self.rank(ids[h], r)) is not None:
                 heapq.heappush(queue, (n, h, ids[h], r))
         return [x for x in ids if x >= 0]
 
