@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 from vellumist.llm.batches import bound_batches, hand_back, keep, slices
 
 LONG_PIECE = 192
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 1_500_000
 DECODE_ROWS = 300_000
 #: Pieces of one recursion.
 ENCODE_PIECES = 10_000
-MOST_UNITS, MOST_IDS = 400_000, 4_000_000
+MOST_UNITS, MOST_IDS = 500_000, 4_000_000
 #: Ids of a unit that is short.
 SHORT_UNIT = 64
 #: The vocabulary goes to every executor, so its file has a limit.
