@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumist.functions import color, settings
-from vellumist.operators import curves, layers, palette, regions, skeleton, svg
+from vellumist.operators import curves, layers, palette, regions, skeleton, svg, tiles
 from vellumist.plans import pipelines
 from vellumist.streaming import jobs
 
@@ -170,3 +170,19 @@ def test_components_of_wide_and_tall_images(spark, monkeypatch):
             assert all(whole[p] == c for p in near if p in whole and rows[p[1]][p[0]] == rows[y][x])
     wide = spark.createDataFrame([(0, 4096, 0, 1), (0, 0, 1, 1), (0, 5000, 0, 1), (0, 5001, 0, 1)], "image_id long, x int, y int, m int")
     assert len({r.comp for r in regions.connected_components(wide).collect()}) == 3
+
+
+def test_tiles_hold_their_pixels_and_are_never_broadcast(spark):
+    pixels = image(spark, [[(7 * x + 13 * y) % 256 for x in range(23)] for y in range(17)], name="g")
+    plan = tiles.plan(spark.createDataFrame([(1, 23, 17)], "image_id long, width int, height int"), 9, 4)
+    boxes = [(t.tx, t.ty, t.w, t.h) for t in plan.collect()]
+    wanted = sorted((x, y, *b, (7 * x + 13 * y) % 256) for b in boxes for x in range(b[0], b[0] + b[2]) for y in range(b[1], b[1] + b[3]))
+    for side in (1, 4, 64):
+        cells = tiles.cut(pixels, plan, side=side)
+        assert sorted((r.x, r.y, r.tx, r.ty, r.w, r.h, r.g) for r in cells.collect()) == wanted
+        back = tiles.stitch(cells)
+        rows = back.collect()
+        assert len(rows) == 23 * 17 and all(abs(r.v - (7 * r.x + 13 * r.y) % 256) < 1e-9 for r in rows)
+        assert "Broadcast" not in back._jdf.queryExecution().executedPlan().toString()
+    bare = tiles.cut(pixels, plan).drop("bx", "by")
+    assert tiles.stitch(bare).count() == 23 * 17

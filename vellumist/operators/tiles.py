@@ -19,20 +19,32 @@ def plan(images: DataFrame, tile: int, overlap: int) -> DataFrame:
     return df.select("image_id", "tx", "ty", F.least(F.lit(tile), F.col("width")).alias("w"), F.least(F.lit(tile), F.col("height")).alias("h"))
 
 
-def cut(pixels: DataFrame, plan_: DataFrame, value: str = "g") -> DataFrame:
-    """Pixels of each tile. A tile's own rows and columns are a sequence, so this is an equi-join on coordinates."""
-    cells = plan_.withColumn("x", F.explode(F.sequence(F.col("tx"), F.col("tx") + F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.col("ty"), F.col("ty") + F.col("h") - 1)))
-    return cells.join(pixels.select("image_id", "x", "y", value), ["image_id", "x", "y"])
+def cut(pixels: DataFrame, plan_: DataFrame, value: str = "g", side: int = 64) -> DataFrame:
+    """Pixels of each tile, with the square (bx, by) that holds each.
+
+    Tiles go to the squares they touch, and pixels meet the tiles of their own square; side, best about that of a tile, changes only the work.
+    Spark takes the exploded plan for as small as its images are and would send it to the driver to broadcast it, so the join is a merge.
+    """
+
+    def square(at: Column) -> Column:
+        return F.floor(at / side)
+
+    tiles = plan_.withColumn("bx", F.explode(F.sequence(square(F.col("tx")), square(F.col("tx") + F.col("w") - 1)))).withColumn("by", F.explode(F.sequence(square(F.col("ty")), square(F.col("ty") + F.col("h") - 1))))
+    cells = pixels.select("image_id", "x", "y", value, square(F.col("x")).alias("bx"), square(F.col("y")).alias("by"))
+    met = cells.join(tiles.hint("merge"), ["image_id", "bx", "by"])
+    return met.filter((F.col("x") >= F.col("tx")) & (F.col("x") < F.col("tx") + F.col("w")) & (F.col("y") >= F.col("ty")) & (F.col("y") < F.col("ty") + F.col("h")))
 
 
 def stitch(tiles: DataFrame, value: str = "g") -> DataFrame:
-    """image_id, x, y, v: mean of overlapping tiles under triangular weights."""
+    """image_id, x, y, v: mean of overlapping tiles under triangular weights. Where tiles bring their squares, rows stay as cut() dealt them."""
 
     def weight(at: Column, first: Column, size: Column) -> Column:
         return F.least(at - first + 1, first + size - at)
 
     w = weight(F.col("x"), F.col("tx"), F.col("w")) * weight(F.col("y"), F.col("ty"), F.col("h"))
-    return tiles.withColumn("wt", w).groupBy("image_id", "x", "y").agg((F.sum(F.col("wt") * F.col(value)) / F.sum("wt")).alias("v"))
+    squares = [c for c in ("bx", "by") if c in tiles.columns]
+    mean = (F.sum(F.col("wt") * F.col(value)) / F.sum("wt")).alias("v")
+    return tiles.withColumn("wt", w).groupBy("image_id", *squares, "x", "y").agg(mean).select("image_id", "x", "y", "v")
 
 
 def letterbox(images: DataFrame, to: int) -> DataFrame:

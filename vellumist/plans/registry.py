@@ -793,7 +793,7 @@ def tile_plan(spark, sf_dir):
 def tile_stitch(spark, sf_dir):
     """Cutting and stitching gives the image back."""
     g = px_gray(spark, sf_dir)
-    return tiles.stitch(tiles.cut(g, tiles.plan(_images(spark, sf_dir), 5, 2))).withColumn("v", rnd("v"))
+    return tiles.stitch(tiles.cut(g, tiles.plan(_images(spark, sf_dir), 5, 2), side=8)).withColumn("v", rnd("v"))
 
 
 @query(f"WITH {GRAY} SELECT DISTINCT image_id, 13 AS w, 13 AS h, 0 AS \"left\", 0 AS top FROM gray")
