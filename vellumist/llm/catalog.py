@@ -24,7 +24,7 @@ def op2_byte_bpe(spark, sf_dir):
 def op3_secret_scan(spark, sf_dir):
     found = secrets.find(read_table(spark, sf_dir, "documents"))
     counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in secrets.STRONG_KINDS]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_links", secrets.grouped(F.col("credentials")).alias("credentials"))
 
 
 def op4_language_kernel(spark, sf_dir):
