@@ -75,3 +75,11 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = out
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0
+
+
+def test_redaction_follows_the_links_of_parts(spark):
+    texts = {1: "user: alice, password: abc12", 2: "login=Xy9zXy9zXy9zXy9zXy9z", 3: "login=bob " + "z" * 250 + " password: abc", 4: "url=http://db.example.com user: alice, password: abc"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pipeline.secret_redaction(spark, docs, SF).collect()}
+    # A token is not its own complement, too far parts are not linked, endpoints stay.
+    assert out == {1: "[REDACTED], [REDACTED]", 2: texts[2], 3: texts[3], 4: "url=http://db.example.com [REDACTED], [REDACTED]"}
