@@ -61,3 +61,15 @@ def test_forgetting_keeps_short_units_used_often(reference, monkeypatch):
     flat, _, said = own.encode([text])
     assert flat.tolist() == reference.encode_ordinary(text)
     assert said.to_pylist() == [" ".join(map(str, flat.tolist()))]
+
+
+def test_a_share_bounds_the_state_and_keeps_the_ids(reference):
+    whole, part = (bpe.Codec(bpe.read_ranks(PATH), P.PATTERN, share) for share in (1, bpe.MOST_UNITS // 50))
+    texts = [" ".join(f"w{i * k}x" for i in range(60)) for k in range(1, 9)] + [""]
+    most = []
+    for t in texts:
+        (a, n, x), (b, m, y) = whole.encode([t]), part.encode([t])
+        assert a.tolist() == b.tolist() == reference.encode_ordinary(t) and n.tolist() == m.tolist() and x.equals(y)
+        assert part.decode(b, m) == [t.encode()]
+        most.append(len(part.units))
+    assert max(most) <= 50 + 60 < len(whole.units)

@@ -15,11 +15,11 @@ BATCH_BYTES = 8 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's bound of an Arrow batch to BATCH_BYTES; the default is 64 MB. A smaller bound stays. Only sizes of batches change by it, never rows."""
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lower the session's bound of an Arrow batch to so many bytes; the default is 64 MB. A smaller bound stays. Only sizes of batches change by it, never rows."""
     size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING, "64m"))
-    if not 0 < size <= BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    if not 0 < size <= most:
+        spark.conf.set(BATCH_SETTING, str(most))
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ reference encoding. Decoding joins the ids of whole texts with the vocabulary an
 A round contracts one pair, so the recursion is quadratic in a piece's length: pieces over ``LONG_PIECE`` bytes (unbroken
 runs of thousands of letters or signs) take the same contraction over a heap of neighbouring pairs, with the same ids.
 State is bounded: beyond ``MOST_UNITS`` known units or ``MOST_IDS`` of their ids, all are forgotten but the short ones used most, at most half; slices hold
-``SLICE_CHARS`` of text, or one text. What is known changes only the work, never an id.
+``SLICE_CHARS`` of text, or one text. A ``share`` divides these bounds, where executors hold much else. What is known changes only the work, never an id.
 
 Defined cases: a null or empty text has no tokens; repeated rows are encoded each; other columns are ignored; an empty table gives
 an empty result. Special tokens are never recognised: their strings are ordinary text.
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellumist.llm.batches import bound_batches, hand_back, keep, slices
+from vellumist.llm.batches import BATCH_BYTES, bound_batches, hand_back, keep, slices
 
 LONG_PIECE = 192
 SLICE_CHARS = 1_500_000
@@ -87,10 +87,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one vocabulary; lives in a worker process and keeps what it has learned of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: int = 1):
         import duckdb
         import regex
 
+        self.share = share
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {r: token for token, r in ranks.items()}
         merges = np.array([(a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None], np.int32)
@@ -106,8 +107,8 @@ class Codec:
         self.at = np.zeros(1, np.int64)
 
     def forget(self) -> None:
-        """Keep the short units that were used most since they were learned, older uses counting half, and half of MOST_UNITS at most."""
-        sizes, most = np.diff(self.at), MOST_UNITS // 2
+        """Keep the short units that were used most since they were learned, older uses counting half, and half of the most units at most."""
+        sizes, most = np.diff(self.at), MOST_UNITS // self.share // 2
         uses = np.where(sizes <= SHORT_UNIT, self.uses, 0)
         kept = uses > max(1, np.partition(uses, -most - 1)[-most - 1] if len(uses) > most else 1)
         self.units = {u: i for i, u in enumerate(compress(self.units, kept))}
@@ -157,7 +158,8 @@ class Codec:
         short = [i for i, (p, r) in enumerate(zip(raw, whole)) if r < 0 and len(p) <= LONG_PIECE]
         long = [i for i, (p, r) in enumerate(zip(raw, whole)) if r < 0 and len(p) > LONG_PIECE]
         parts = [(np.array(whole, np.int32)[(w := np.array(whole)) >= 0], np.ones(int((w >= 0).sum()), np.int64))]
-        parts += [self.recursive([raw[i] for i in short[at : at + ENCODE_PIECES]]) for at in range(0, len(short), ENCODE_PIECES)]
+        step = max(1, ENCODE_PIECES // self.share)
+        parts += [self.recursive([raw[i] for i in short[at : at + step]]) for at in range(0, len(short), step)]
         parts += [(np.array(ids, np.int32), np.array([len(ids)])) for ids in (self.heap(raw[i]) for i in long)]
         # Pieces stand in that order in flat; place has where each begins.
         flat, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
@@ -176,7 +178,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
         """Flat ids, the number of each text, and each text's decimal ids joined by one space."""
-        if len(self.units) > MOST_UNITS or len(self.flat) > MOST_IDS:
+        if len(self.units) > MOST_UNITS // self.share or len(self.flat) > MOST_IDS // self.share:
             self.forget()
         cut = [UNIT.findall(t) for t in texts]
         known = self.units
@@ -202,7 +204,7 @@ class Codec:
         first, start = 0, 0
         while first < len(counts):
             last, rows = first + 1, int(counts[first])
-            while last < len(counts) and rows + counts[last] <= DECODE_ROWS:
+            while last < len(counts) and rows + counts[last] <= DECODE_ROWS // self.share:
                 rows += int(counts[last])
                 last += 1
             self.db.register("ids_in", pa.table({"d": np.repeat(np.arange(last - first), counts[first:last]), "p": np.arange(rows), "id": flat[start : start + rows]}))
@@ -213,28 +215,28 @@ class Codec:
         return out
 
 
-def codec(ranks: dict[bytes, int], pattern: str, name: bytes) -> Codec:
+def codec(ranks: dict[bytes, int], pattern: str, name: bytes, share: int = 1) -> Codec:
     kept = keep("bpe")
     if name not in kept:
         kept.clear()
-        kept[name] = Codec(ranks, pattern)
+        kept[name] = Codec(ranks, pattern, share)
     return kept[name]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that decoding the ids gives), and the ids if asked for."""
-    bound_batches(docs.sparkSession)
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, share: int = 1) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that decoding the ids gives), and the ids if asked for. share divides the bounds of what a worker holds."""
+    bound_batches(docs.sparkSession, max(1, BATCH_BYTES // share))
     ranks = read_ranks(path)
-    name = hashlib.sha256(repr((sorted(ranks.values())[-1], len(ranks), path, pattern)).encode()).digest()
+    name = hashlib.sha256(repr((sorted(ranks.values())[-1], len(ranks), path, pattern, share)).encode()).digest()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(sent.value, pattern, name)
+        own = codec(sent.value, pattern, name, share)
         for batch in batches:
-            for part in slices(batch, 1, SLICE_CHARS, batch.num_rows):
+            for part in slices(batch, 1, max(1, SLICE_CHARS // share), batch.num_rows):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 flat, counts, joined = own.encode(texts)
                 decoded = own.decode(flat, counts)
