@@ -73,3 +73,23 @@ def test_a_share_bounds_the_state_and_keeps_the_ids(reference):
         assert part.decode(b, m) == [t.encode()]
         most.append(len(part.units))
     assert max(most) <= 50 + 60 < len(whole.units)
+
+
+def test_long_pieces_go_through_the_recursion(reference, monkeypatch):
+    monkeypatch.setattr(bpe.Codec, "heap", None)
+    monkeypatch.setattr(bpe, "LONG_BYTES", 5000)
+    own = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    signs = ["etaoinshr", "=-*_", "aab", "qz", "éß日本", "0129", ["=", "==", "-" * 5, "_="], ["ab", "c", "ing", "er"]]
+    pieces = ["".join(rng.choices(s, k=rng.randint(200, 900))) for s in signs for _ in range(6)] + ["=" * 9000, "ab" * 4000, "日本" * 300]
+    flat, counts, _ = own.encode(pieces)
+    ends = counts.cumsum()
+    assert own.regular and [flat[e - n : e].tolist() for e, n in zip(ends, counts)] == [reference.encode_ordinary(p) for p in pieces]
+
+
+def test_long_pieces_by_ranks_that_fall():
+    tokens = [bytes([i]) for i in range(256)] + [b"abc", b"cab", b"ab", b"bc", b"aa", b"ca", b"aab", b"abab"]
+    own = bpe.Codec({t: i for i, t in enumerate(tokens)}, P.PATTERN)
+    pieces = ["".join(rng.choices("abc", k=rng.randint(193, 300))).encode() for _ in range(20)]
+    ids, counts = own.recursive_long(pieces)
+    assert not own.regular
+    assert (ids.tolist(), counts.tolist()) == (sum(map(own.heap, pieces), []), [len(own.heap(p)) for p in pieces])

@@ -6,8 +6,11 @@ id, right id, rank of their concatenation) and lists each piece's tokens and pai
 pair of minimum rank of each piece, joins the new token with its two neighbours to the merge table, and goes on until no piece has a pair left. Whole pieces that are a token themselves are that token, as in the
 reference encoding. Decoding joins the ids of whole texts with the vocabulary and concatenates the bytes by an ordered aggregation.
 
-A round contracts one pair, so the recursion is quadratic in a piece's length: pieces over ``LONG_PIECE`` bytes (unbroken
-runs of thousands of letters or signs) take the same contraction over a heap of neighbouring pairs, with the same ids.
+A round of that recursion contracts one pair, which is quadratic in a piece's length. Pieces over ``LONG_PIECE`` bytes (unbroken runs of thousands of
+letters or signs) go through a recursion over a row a token, whose rounds contract all pairs that are of least rank for ``MARGIN`` times the length of
+the longest token that the piece holds, before and after. No token grows over such a distance, so what is contracted elsewhere meanwhile does not reach
+them; of a chain of overlapping pairs of one rank, every other one is contracted, from the left, once the whole chain is of least rank. That gives the same ids where no
+contraction makes a pair of lower rank than its own, which is looked at for the vocabulary (``regular``); else a round contracts the leftmost pair of least rank.
 State is bounded: beyond ``MOST_UNITS`` known units or ``MOST_IDS`` of their ids, all are forgotten but the short ones used most, at most half; slices hold
 ``SLICE_CHARS`` of text, or one text. A ``share`` divides these bounds, where executors hold much else. What is known changes only the work, never an id.
 
@@ -22,6 +25,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, compress, repeat
 
 import numpy as np
@@ -33,6 +37,9 @@ from pyspark.sql import types as T
 from vellumist.llm.batches import BATCH_BYTES, bound_batches, hand_back, keep, slices
 
 LONG_PIECE = 192
+MARGIN = 4
+#: Bytes of long pieces of one recursion, or one piece.
+LONG_BYTES = 1_000_000
 SLICE_CHARS = 1_500_000
 DECODE_ROWS = 300_000
 #: Pieces of one recursion.
@@ -69,6 +76,33 @@ step(w, t, r, least) AS (
 SELECT w, t AS ids FROM step WHERE least = {NONE} ORDER BY w
 """
 
+#: Keyed by piece and first byte: a round lists the tokens that changed, and those that were contracted into the one before as -1.
+ENCODE_LONG = f"""
+WITH RECURSIVE tokens(w, k, t, r, reach) USING KEY (w, k) AS (
+    SELECT p.w, p.k, p.t, coalesce(m.r, {NONE}), p.reach
+    FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY k) AS nt FROM long_in) p LEFT JOIN merges m ON m.a = p.t AND m.b = p.nt
+    UNION
+    (WITH near AS (
+        SELECT *, min(r) OVER (PARTITION BY w ORDER BY k RANGE BETWEEN reach PRECEDING AND reach FOLLOWING) AS least,
+               coalesce(lag(r) OVER (PARTITION BY w ORDER BY k) <> r, true) AS fresh
+        FROM recurring.tokens WHERE t >= 0),
+    chained AS (SELECT *, sum(fresh :: INTEGER) OVER (PARTITION BY w ORDER BY k) AS c FROM near),
+    chosen AS (SELECT *, r < {NONE} AND CHOICE AS here FROM chained),
+    dealt AS (SELECT *, coalesce(lag(here) OVER (PARTITION BY w ORDER BY k), false) AS gone, lead(t) OVER (PARTITION BY w ORDER BY k) AS old FROM chosen),
+    kept AS (SELECT w, k, reach, here, old, CASE WHEN here THEN r ELSE t END AS t FROM dealt WHERE NOT gone),
+    pairs AS (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY k) AS nt FROM kept)
+    SELECT p.w, p.k, p.t, coalesce(m.r, {NONE}), p.reach
+    FROM pairs p LEFT JOIN merges m ON m.a = p.t AND m.b = p.nt WHERE p.here OR p.nt IS DISTINCT FROM p.old
+    UNION ALL SELECT w, k, -1, {NONE}, reach FROM dealt WHERE gone)
+)
+SELECT w, list(t ORDER BY k) AS ids FROM tokens WHERE t >= 0 GROUP BY w ORDER BY w
+"""
+#: Which pairs a round contracts, by regular.
+CHOICE = {
+    True: "bool_and(r = least) OVER (PARTITION BY w, c) AND row_number() OVER (PARTITION BY w, c ORDER BY k) % 2 = 1",
+    False: "k = min(CASE WHEN r = least THEN k END) OVER (PARTITION BY w)",
+}
+
 DECODE = """
 SELECT d, string_agg(v.hex, '' ORDER BY i.p) AS hex
 FROM ids_in i JOIN vocab v ON v.id = i.id GROUP BY d
@@ -84,6 +118,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, raw.splitlines()))}
 
 
+def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Places of neighbours that have so much together at most, or of one."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield start, len(sizes)
+
+
 class Codec:
     """Encodes and decodes with one vocabulary; lives in a worker process and keeps what it has learned of pieces."""
 
@@ -96,6 +142,7 @@ class Codec:
         self.token = {r: token for token, r in ranks.items()}
         merges = np.array([(a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None], np.int32)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.by_length = sorted(ranks, key=len, reverse=True)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '500MB'; SET temp_directory = ''")
         self.db.register("merges_in", pa.table({name: pa.array(merges[:, i]) for i, name in enumerate("abr")}))
@@ -124,12 +171,42 @@ class Codec:
         self.db.unregister("bytes_in")
         return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
 
+    @cached_property
+    def regular(self) -> bool:
+        """Whether every token is contracted from pairs of lower ranks than its own, so that no contraction makes a pair of lower rank."""
+        for token, r in self.ranks.items():
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 2:
+                least, i = min((self.ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if least >= r:
+                    return False
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return True
+
+    def reach(self, piece: bytes) -> int:
+        """How far, in bytes, pairs of lower rank matter to a pair of the piece."""
+        if not self.regular:
+            return len(piece)
+        have = set(piece)
+        return MARGIN * next((len(token) for token in self.by_length if have.issuperset(token) and token in piece), 1)
+
+    def recursive_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As recursive, for pieces of any length."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        places = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        reach = np.fromiter(map(self.reach, pieces), np.int32, len(pieces))
+        rows = {"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "k": places, "t": self.byte[np.frombuffer(b"".join(pieces), np.uint8)], "reach": np.repeat(reach, lengths)}
+        self.db.register("long_in", pa.table(rows))
+        found = self.db.sql(ENCODE_LONG.replace("CHOICE", CHOICE[self.regular])).to_arrow_table().column("ids").combine_chunks()
+        self.db.unregister("long_in")
+        return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
+
     def rank(self, a: int, b: int) -> int | None:
         """The rank of two tokens' concatenation."""
         return self.ranks.get(self.token[a] + self.token[b])
 
     def heap(self, piece: bytes) -> list[int]:
-        """The same contraction for one long piece, in n log n."""
+        """The same contraction of one piece in plain Python; no piece goes this way, tests hold the recursions against it."""
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.rank(a, b)) is not None]
@@ -160,7 +237,7 @@ class Codec:
         parts = [(np.array(whole, np.int32)[(w := np.array(whole)) >= 0], np.ones(int((w >= 0).sum()), np.int64))]
         step = max(1, ENCODE_PIECES // self.share)
         parts += [self.recursive([raw[i] for i in short[at : at + step]]) for at in range(0, len(short), step)]
-        parts += [(np.array(ids, np.int32), np.array([len(ids)])) for ids in (self.heap(raw[i]) for i in long)]
+        parts += [self.recursive_long([raw[i] for i in long[a:b]]) for a, b in runs([len(raw[i]) for i in long], LONG_BYTES // self.share)]
         # Pieces stand in that order in flat; place has where each begins.
         flat, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
         order = np.concatenate([np.flatnonzero(w >= 0), np.array(short + long, np.int64)]).astype(np.int64)
