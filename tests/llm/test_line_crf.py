@@ -57,3 +57,14 @@ def test_nulls_empty_texts_and_missing_labels(spark):
     assert line_crf.classify(odd.limit(0), crf).count() == 0
     none = line_crf.train(docs, labels.limit(0), F.lit(True))
     assert {r.score for r in line_crf.classify(odd, none).collect()} == {0.5}
+
+
+def test_a_fit_holds_the_lines_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = [(rng.normal(size=(50, line_crf.FEATURES)).astype(np.float32), np.ones(50)) for _ in range(400)]
+    tracemalloc.start()
+    line_crf.fit(texts, np.arange(400) % 2, steps=2)
+    assert tracemalloc.get_traced_memory()[1] < 1.5 * 8 * 50 * 400 * line_crf.FEATURES
+    tracemalloc.stop()

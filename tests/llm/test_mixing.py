@@ -90,3 +90,16 @@ def test_empty_table_and_no_words(spark):
     assert mixing.entropy_mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, "a", 1, ""), (2, "", None, 1, "")], SCHEMA)
     assert [(r.taken, r.target) for r in mixing.entropy_mix(blank).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+def test_a_step_of_the_dual_has_the_state_once(spark, monkeypatch):
+    plans, write = [], mixing.materialize
+
+    def seen(df, tag, *rest):
+        plans.extend([df._jdf.queryExecution().optimizedPlan().toString()] if tag == "mix-dual" else [])
+        return write(df, tag, *rest)
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 7 + 1)) for i in range(40)], "doc_id long, source string, text string")
+    assert mixing.entropy_mix(docs).count() == 40
+    assert plans and all(p.count("Join Inner") == mixing.STEPS_A_JOB for p in plans)

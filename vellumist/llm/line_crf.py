@@ -160,10 +160,14 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: i
     if not len(labels) or labels.min() == labels.max():
         return {"flat": float(labels.mean()) if len(labels) else 0.5}
     lengths = np.array([len(w) for _, w in texts])
-    x, weights = np.concatenate([f for f, _ in texts]).astype(np.float64), np.concatenate([w for _, w in texts])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    # The matrix of all lines is made once and changed where it stands, as it is the driver that holds it.
+    x, weights = np.empty((int(lengths.sum()), texts[0][0].shape[1])), np.concatenate([w for _, w in texts])
+    np.concatenate([f for f, _ in texts], out=x)
+    mean = x.mean(axis=0)
+    scale = np.sqrt([np.square(x[:, k] - mean[k]).mean() for k in range(x.shape[1])]) + 1e-6
     mean[-1], scale[-1] = 0, 1
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     y = np.repeat(labels, lengths)
     one, d = np.eye(2)[y], x.shape[1]
     seen = np.zeros((2, 2))
@@ -222,7 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     got = rows.withColumn("label", F.col("label").cast("int")).mapInArrow(features, "x binary, w binary, label int").collect()
     got.sort(key=lambda r: (r.label, bytes(r.x), bytes(r.w)))
     texts = [(np.frombuffer(r.x, np.float32).reshape(-1, FEATURES), np.frombuffer(r.w, np.float64)) for r in got]
-    return fit(texts, np.array([r.label for r in got], dtype=np.int64))
+    crf = fit(texts, np.array([r.label for r in got], dtype=np.int64))
+    del got, texts
+    hand_back()
+    return crf
 
 
 def classify(docs: DataFrame, crf: dict, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

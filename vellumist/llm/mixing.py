@@ -89,9 +89,11 @@ def solve(histogram: DataFrame, sources: DataFrame, n_sources: int, cap: float =
         for _ in range(STEPS_A_JOB):
             r = rate(F.col("lam"), F.col("size"), F.col("mean"), F.col("full"), cap)
             mass = F.col("n") * F.col("size")
-            sums = with_source(histogram, state.select("skey", "lam", "mean", "full"), n_sources).groupBy("skey").agg(
-                F.sum(mass * r).alias("got"), F.sum(mass * F.col("size") / F.col("mean") * r * (1.0 - r / float(cap))).alias("slope")
-            )
+            # The state goes through the aggregation: joined to its own sums, it would stand twice in the plan of each step, 32 times after five.
+            sums = with_source(histogram, state.drop("gap"), n_sources).groupBy("skey").agg(
+                F.sum(mass * r).alias("got"), F.sum(mass * F.col("size") / F.col("mean") * r * (1.0 - r / float(cap))).alias("slope"),
+                *[F.first(c).alias(c) for c in state.columns if c not in ("skey", "gap")],
+            )
             g = F.col("got") - F.col("target")
             lo, hi = F.when(g < 0, F.col("lam")).otherwise(F.col("lo")), F.when(g > 0, F.col("lam")).otherwise(F.col("hi"))
             most = 2.0 + F.abs("lam")
@@ -99,7 +101,7 @@ def solve(histogram: DataFrame, sources: DataFrame, n_sources: int, cap: float =
             new = F.col("lam") + step
             inside = (new > lo) & (new < hi)
             new = F.when(g == 0, F.col("lam")).when(inside, new).otherwise((lo + hi) / 2.0)
-            state = state.join(sums, "skey").select(
+            state = sums.select(
                 "skey", "source_size", "target", "mean", "full", new.alias("lam"), lo.alias("lo"), hi.alias("hi"),
                 F.when(F.col("full"), 0.0).otherwise(F.abs(g) / F.col("target")).alias("gap"),
             )
