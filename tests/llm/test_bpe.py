@@ -93,3 +93,10 @@ def test_long_pieces_by_ranks_that_fall():
     ids, counts = own.recursive_long(pieces)
     assert not own.regular
     assert (ids.tolist(), counts.tolist()) == (sum(map(own.heap, pieces), []), [len(own.heap(p)) for p in pieces])
+
+
+def test_a_very_long_piece_has_memory_enough():
+    own = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    piece = b"ab" * 500_000
+    ids, counts = own.recursive_long([piece])
+    assert ids.tolist() == own.heap(piece) and counts.tolist() == [len(ids)]

@@ -39,7 +39,7 @@ from vellumist.llm.batches import BATCH_BYTES, bound_batches, hand_back, keep, s
 LONG_PIECE = 192
 MARGIN = 4
 #: Bytes of long pieces of one recursion, or one piece.
-LONG_BYTES = 1_000_000
+LONG_BYTES = 200_000
 SLICE_CHARS = 1_500_000
 DECODE_ROWS = 300_000
 #: Pieces of one recursion.
@@ -197,7 +197,10 @@ class Codec:
         reach = np.fromiter(map(self.reach, pieces), np.int32, len(pieces))
         rows = {"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "k": places, "t": self.byte[np.frombuffer(b"".join(pieces), np.uint8)], "reach": np.repeat(reach, lengths)}
         self.db.register("long_in", pa.table(rows))
+        # A piece over LONG_BYTES is never cut, so the limit grows with it.
+        self.db.execute(f"SET memory_limit = '{500 + int(lengths.sum()) // 500}MB'")
         found = self.db.sql(ENCODE_LONG.replace("CHOICE", CHOICE[self.regular])).to_arrow_table().column("ids").combine_chunks()
+        self.db.execute("SET memory_limit = '500MB'")
         self.db.unregister("long_in")
         return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
 
